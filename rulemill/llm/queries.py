@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op4_personal_data(spark, sf_dir):
+    from .pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     from .quality import quality_rules
 
