@@ -11,6 +11,14 @@ def op4_personal_data(spark, sf_dir):
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_quality_rules(spark, sf_dir):
     from .quality import quality_rules
 
