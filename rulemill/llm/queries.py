@@ -11,6 +11,12 @@ def op4_personal_data(spark, sf_dir):
     return pii_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    from .substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
