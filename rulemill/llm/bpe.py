@@ -152,55 +152,104 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class _Slots(dict):
+    """Piece -> slot; an unknown piece gets the next slot and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece):
+        self[piece] = slot = len(self)
+        self.fresh.append(piece)
+        return slot
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``flat[begin[i] : begin[i] + size[i]]`` for all i, one after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(begin - ends + size, size)]
+
+
 class Codec:
-    """Encoder and decoder with a bounded cache. ``missing(pieces)`` gives the ids of pieces that are not cached."""
+    """Cached encoder. ``missing(pieces)`` gives ids and counts of pieces that are not cached; at most CACHED stay."""
 
-    def __init__(self, missing):
-        self.missing, self.index = missing, {}
+    def __init__(self, missing, decimal: bool = False):
+        self.missing, self.decimal = missing, decimal
         self._clear()
 
     def _clear(self):
-        self.index.clear()
-        self.ids: list[list[int]] = []
-        self.text: list[str] = []
+        self.slots, self.text, self.used = _Slots(), [], 0
+        self.flat, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.begin = np.zeros(1 << 14, np.int64)
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, len(a)), a.dtype)])
 
-    def lookup(self, pieces: list[str]) -> list[int]:
-        """Cache slots of the pieces."""
-        if len(self.index) > CACHED:
+    def encode(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Slots, ids one after the other, and the number of ids of each piece."""
+        if len(self.slots) > CACHED:
             self._clear()
-        index = self.index
-        fresh = [p for p in set(pieces) if p not in index]
-        if fresh:
-            for p, ids in zip(fresh, self.missing(fresh)):
-                index[p] = len(self.ids)
-                self.ids.append(ids)
-                self.text.append(" ".join(map(str, ids)))
-        return list(map(index.__getitem__, pieces))
+        n = len(self.slots)
+        slots = list(map(self.slots.__getitem__, pieces))
+        if fresh := self.slots.fresh:
+            ids, counts = self.missing(fresh)
+            m, k = n + len(fresh), len(ids)
+            self.size, self.begin = self._room(self.size, m), self._room(self.begin, m)
+            self.flat = self._room(self.flat, self.used + k)
+            self.size[n:m], self.flat[self.used : self.used + k] = counts, ids
+            self.begin[n:m] = self.used + np.cumsum(counts) - counts
+            self.used += k
+            if self.decimal:
+                said, at = list(map(str, ids.tolist())), 0
+                for c in counts.tolist():
+                    self.text.append(" ".join(said[at : at + c]))
+                    at += c
+            self.slots.fresh = []
+        where = np.array(slots, np.int64)
+        size = self.size[where]
+        return slots, gathered(self.flat, self.begin[where], size), size
+
+
+def _merged(pieces: list[str], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    ids = [merge(p.encode(), ranks) for p in pieces]
+    return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+
+class Vocabulary:
+    """Bytes of the ids, for vectorised decoding."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for k, v in ranks.items():
+            tokens[v] = k
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.begin, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        return gathered(self.flat, self.begin[ids], self.size[ids]).tobytes()
 
 
 @lru_cache(2)
-def own_codec(path: str) -> tuple[Codec, list[bytes]]:
+def own_codec(path: str) -> tuple[Codec, Vocabulary]:
     ranks = load_ranks(path)
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        tokens[v] = k
-    return Codec(lambda pieces: [merge(p.encode(), ranks) for p in pieces]), tokens
-
-
-def decode(ids: list[int], tokens: list[bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids))
+    return Codec(lambda pieces: _merged(pieces, ranks), decimal=True), Vocabulary(ranks)
 
 
 def encode_texts(texts: list[str], path: str):
-    """For each text: ids, decimal pieces, piece starts (code points) and the number of ids of each piece."""
+    """For each text: ids, its pieces' ids as decimal text, piece starts (code points), number of ids of each piece."""
     codec, _ = own_codec(path)
     for part in chunks(texts):
         pieces, starts, counts = pieces_of(part)
-        slots, base, shift = codec.lookup(pieces), 0, 0
+        slots, ids, sizes = codec.encode(pieces)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        base, shift, text = 0, 0, codec.text
         for t, n in zip(part, counts.tolist()):
-            own = slots[base : base + n]
-            ids = [codec.ids[s] for s in own]
-            yield [i for x in ids for i in x], [codec.text[s] for s in own], (starts[base : base + n] - shift).tolist(), [len(x) for x in ids]
+            own = slice(base, base + n)
+            yield ids[ends[base] : ends[base + n]], [text[s] for s in slots[own]], starts[own] - shift, sizes[own]
             base, shift = base + n, shift + len(t)
 
 
@@ -211,13 +260,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):  # ids are much larger than the text
                 part = b.slice(at, 256)
-                rows = list(encode_texts([t or "" for t in part.column("text").to_pylist()], path))
+                rows = [(x[0], x[2], x[3]) for x in encode_texts([t or "" for t in part.column("text").to_pylist()], path)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
                         "ids": pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                        "piece_starts": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                        "piece_ids": pa.array([r[3] for r in rows], pa.list_(pa.int32())),
+                        "piece_starts": pa.array([r[1] for r in rows], pa.list_(pa.int32())),
+                        "piece_ids": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
                     }
                 )
 
@@ -228,9 +277,9 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the decoded bytes."""
 
     def run(batches):
-        _, tokens = own_codec(path)
+        _, vocabulary = own_codec(path)
         for b in batches:
-            out = [None if x is None else decode(x, tokens) for x in b.column("ids").to_pylist()]
+            out = [None if x is None else vocabulary.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "bytes": pa.array(out, pa.binary())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -242,13 +291,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         from hashlib import sha256
 
-        _, tokens = own_codec(path)
+        _, vocabulary = own_codec(path)
         for b in batches:
             n, said, back = [], [], []
             for ids, decimal, _, _ in encode_texts([t or "" for t in b.column("text").to_pylist()], path):
                 n.append(len(ids))
                 said.append(sha256(" ".join(decimal).encode()).hexdigest())
-                back.append(sha256(decode(ids, tokens)).hexdigest())
+                back.append(sha256(vocabulary.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ from .common import stored, tasks_for
 LENGTH, END_ID = 2048, 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 SLACK = 4  # ids that a pattern may leave empty
-ROUNDS = 1500  # simplex steps at most
+ROUNDS = 4000  # simplex steps at most
 GAP = 0.005  # stop when the bound is as near
 
 
@@ -39,7 +39,12 @@ def library_codec(path: str) -> Codec:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    return Codec(lambda pieces: [np.array(e.ids, np.uint32) for e in t.encode_batch(pieces, add_special_tokens=False)])
+
+    def missing(pieces):
+        ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+
+    return Codec(missing)
 
 
 def token_ids(texts: list[str], path: str):
@@ -48,15 +53,14 @@ def token_ids(texts: list[str], path: str):
     for part in chunks(texts):
         cuts = [t.split(SPECIAL) if SPECIAL in t else [t] for t in part]
         pieces, _, counts = pieces_of([x for c in cuts for x in c])
-        slots, at, k = codec.lookup(pieces), 0, 0
+        _, ids, sizes = codec.encode(pieces)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        k = 0
         for c in cuts:
-            own = []
-            for i in range(len(c)):
-                if i:
-                    own.append(np.array([SPECIAL_ID], np.uint32))
-                n = int(counts[k])
-                own += [codec.ids[s] for s in slots[at : at + n]]
-                at, k = at + n, k + 1
+            own = [ids[ends[k] : ends[k + 1]]]
+            for i in range(1, len(c)):
+                own += [np.array([SPECIAL_ID], np.uint32), ids[ends[k + i] : ends[k + i + 1]]]
+            k += len(c)
             yield np.concatenate([*own, np.array([END_ID], np.uint32)])
 
 
@@ -110,6 +114,14 @@ def cutting_stock(demand: dict[int, int], capacity: int = LENGTH, rounds: int =
     need = np.array([demand[n] for n in lengths], float)
     fits = np.array([capacity // n for n in lengths], float)
     inverse, use, patterns = np.diag(1 / fits), need / fits, [{n: capacity // n} for n in lengths]
+    for n in lengths:  # a long length and its complement fill a sequence: the rarer one is used up so
+        if 2 * n > capacity and capacity - n in row:
+            i, j = row[n], row[capacity - n]
+            if need[i] >= need[j]:
+                inverse[j, j], inverse[i, j], use[j], use[i], patterns[j] = 1, -1, need[j], need[i] - need[j], {n: 1, capacity - n: 1}
+            else:
+                k = fits[j]
+                inverse[j, i], use[j], patterns[i] = -1 / k, (need[j] - need[i]) / k, {n: 1, capacity - n: 1}
     dual = inverse.sum(axis=0)
     price = np.zeros(capacity)
     for _ in range(rounds):
