@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op1_ngram_join(spark, sf_dir):
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op4_personal_data(spark, sf_dir):
     from .pii import pii_spans
 
