@@ -11,6 +11,18 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op2_language_id(spark, sf_dir):
+    from .langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark, sf_dir):
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_personal_data(spark, sf_dir):
     from .pii import pii_spans
 
