@@ -25,7 +25,7 @@ CENTROIDS = 4  # a language
 SAMPLE = 500  # labelled documents a language for clustering and for the rejection bounds
 BLOCK = 1 << 20  # code points vectorised at once, a longer text alone
 GROUPS = 16  # partial sums of document frequencies that reach the driver
-MARGIN = 0.5  # a document is rejected below this share of the least cosine seen at its length
+MARGIN = 0.25  # a document is rejected below this share of the least cosine seen at its length
 UNKNOWN = "und"
 
 
