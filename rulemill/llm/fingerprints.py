@@ -104,7 +104,7 @@ def blocks(texts: list[bytes]):
         yield texts[start:]
 
 
-def chunk_count(docs: DataFrame, least_bytes: int = 16 << 20, factor: float = 1.7) -> int:
+def chunk_count(docs: DataFrame, least_bytes: int = 6 << 20, factor: float = 1.7) -> int:
     """Chunks of at least ``least_bytes`` of text, growing with the square root of the input, so that the number of
     messages between chunks and counters grows in proportion to the input."""
     return tasks_for(docs, max(least_bytes, isqrt(4096 * input_bytes(docs))), factor)
