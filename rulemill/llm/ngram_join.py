@@ -28,6 +28,7 @@ from .fingerprints import blocks, chunk_count, codes_of, counted, dealt, mixed,
 
 BITS = 40  # of a fingerprint, for counting
 MEMBERS = 256  # classes of a block
+HOT = 1024  # classes whose labels are broadcast at most: those with the most copies
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -218,8 +219,13 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     joined = connected_components(verified.where("b is not null").select("a", "b"))
     degree = verified.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    labels = labels.select("sig", F.coalesce("root", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return made.select("doc_id", "n_shingles", "sig").join(labels, "sig", "left").select(
+    labels = stored(labels.select("sig", "copies", F.coalesce("root", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "labels")
+    # rows of the classes with the most copies are labelled where they are read, the rest by a join on the class
+    hot = labels.where("copies > 1").orderBy(F.desc("copies"), "sig").limit(HOT).select("sig", "component", "n_links").collect()
+    hot = F.broadcast(made.sparkSession.createDataFrame(hot, "sig binary, component long, n_links long"))
+    rows = made.select("doc_id", "n_shingles", "sig")
+    rest = rows.join(hot, "sig", "left_anti").join(labels.drop("copies"), "sig", "left")
+    return rows.join(hot, "sig").unionByName(rest).select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).cast("long").alias("component_id"),
         F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
