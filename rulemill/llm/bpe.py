@@ -28,7 +28,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: Endings that an apostrophe takes with it.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 CHUNK = 1 << 20  # code points handled at once, a longer text alone
-CACHED = 400_000  # pieces held by a worker
+CACHED = 1_000_000  # pieces held by a worker
 
 
 @lru_cache(1)

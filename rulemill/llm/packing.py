@@ -41,8 +41,8 @@ def library_codec(path: str) -> Codec:
     t = Tokenizer.from_file(path)
 
     def missing(pieces):
-        ids = [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        e = t.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces))
 
     return Codec(missing)
 
