@@ -126,10 +126,10 @@ def best_fit_decreasing(items: list[tuple[int, object]], capacity: int, most: in
 
 
 def even_bins(items: list[tuple[int, object]], bins: int) -> dict:
-    """Best fit decreasing at the least capacity, to 1/1000 of an even share, that needs no more than ``bins``."""
+    """Best fit decreasing at the least capacity, to 1/20000 of an even share, that needs no more than ``bins``."""
     total, largest = sum(x[0] for x in items), max((x[0] for x in items), default=1)
     low = max(largest, -(-total // bins), 1)
-    step = max(1, low // 1000)
+    step = max(1, low // 20_000)
     high = low
     found = best_fit_decreasing(items, high, bins)
     grow = step
