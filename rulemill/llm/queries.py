@@ -74,6 +74,32 @@ def queries():
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+def _quality_sql():
+    from .quality import RULES, STOP_WORDS
+
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    bounds = [f"{r.metric} >= {r.low}" for r in RULES if r.low is not None] + [f"{r.metric} <= {r.high}" for r in RULES if r.high is not None]
+    return rf"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        w as (select doc_id, t, list_filter(regexp_split_to_array(t, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as w,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\x0b\f\r]')) as l from d),
+        u as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+        g as (select doc_id, i, x || ' ' || lead(x) over p || ' ' || lead(x, 2) over p as g from u window p as (partition by doc_id order by i)),
+        c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g where g is not null),
+        r as (select doc_id, count(distinct k) as n from (select doc_id, unnest([i, i + 1, i + 2]) as k from c where n > 1) group by 1),
+        m as (select w.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+            (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+            coalesce(r.n, 0)::bigint as n_repeat_words,
+            len(list_filter(w, lambda x: lower(regexp_replace(x, '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g')) in ({stops}))) / greatest(len(w), 1)::double as stop_word_share,
+            len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) / greatest(len(w), 1)::double as alpha_word_share,
+            len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\n\f\r]*$'))) / greatest(len(l), 1)::double as ellipsis_line_share,
+            len(list_filter(l, lambda x: regexp_matches(x, '^[ \t\n\f\r]*[-•*][ \t\n\f\r]'))) / greatest(len(l), 1)::double as bullet_line_share,
+            greatest(len(l), 1) as l1 from w left join r using (doc_id)),
+        k as (select *, word_chars / greatest(n_words, 1)::double as mean_word_chars, n_symbols / greatest(n_words, 1)::double as symbols_per_word, n_dup_lines / l1::double as dup_line_share,
+            n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(bounds)} as kept from k"""
+
+
 SQL = {
     "op8_exact_dedup": """
         with d as (
@@ -87,4 +113,4 @@ SQL = {
 
 
 def oracle_sql():
-    return dict(SQL)
+    return SQL | {"op7_quality_rules": _quality_sql()}
