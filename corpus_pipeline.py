@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.llm.common import lower_ascii, stored, table, text_or_empty
-from rulemill.llm.exact import exact_dedup
+from rulemill.llm.common import stored, table
+from rulemill.llm.exact import without_copies
 from rulemill.llm.langid import identify
 from rulemill.llm.ngram_join import ngram_join
 from rulemill.llm.packing import pack_documents
@@ -20,22 +20,18 @@ from rulemill.llm.pii import redacted
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language identification rejects."""
-    return identify(docs).where(~F.col("rejected")).select(docs.columns)
+    return identify(docs).where(~F.col("rejected")).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of rows equal in doc_id and text, one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    digest = F.sha2(lower_ascii(text_or_empty()).cast("binary"), 256)
-    own = docs.withColumn("_own", digest)
-    found = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["_own"] == kept["_digest"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+    return without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 the document with the least doc_id stays."""
     kept = ngram_join(docs, n=5, percent=80).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

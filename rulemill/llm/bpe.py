@@ -22,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released, small_batches
+
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
 #: Code points with the White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Endings that an apostrophe takes with it.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CHUNK = 1 << 20  # code points handled at once, a longer text alone
-CACHED = 1_000_000  # pieces held by a worker
+CHUNK = 1 << 19  # code points handled at once, a longer text alone
+ROWS = 512  # rows taken out of an Arrow batch at once
+CACHED = 250_000  # pieces held by a worker; the more frequent half survives an overflow
 
 
 @lru_cache(1)
@@ -173,16 +176,27 @@ def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 class Codec:
-    """Cached encoder. ``missing(pieces)`` gives ids and counts of pieces that are not cached; at most CACHED stay."""
+    """Cached encoder. ``missing(pieces)`` gives ids and counts of pieces that are not cached; about CACHED stay."""
 
     def __init__(self, missing, decimal: bool = False):
         self.missing, self.decimal = missing, decimal
-        self._clear()
+        self.slots, self.text, self.used, self.turn = _Slots(), [], 0, 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.size, self.begin, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
-    def _clear(self):
-        self.slots, self.text, self.used = _Slots(), [], 0
-        self.flat, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.begin = np.zeros(1 << 14, np.int64)
+    def _shrink(self):
+        n = len(self.slots)
+        hits = self.hits[:n]
+        stay = np.argsort(-hits, kind="stable")[: CACHED // 2]
+        stay = np.sort(stay[hits[stay] > 0])
+        names = list(self.slots)
+        self.slots = _Slots()
+        self.slots.update((names[i], k) for k, i in enumerate(stay.tolist()))
+        if self.decimal:
+            self.text = [self.text[i] for i in stay.tolist()]
+        size = self.size[stay]
+        self.flat = gathered(self.flat, self.begin[stay], size)
+        self.used, self.size, self.begin, self.hits = len(self.flat), size, np.cumsum(size) - size, hits[stay] // 2
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -191,13 +205,13 @@ class Codec:
     def encode(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Slots, ids one after the other, and the number of ids of each piece."""
         if len(self.slots) > CACHED:
-            self._clear()
+            self._shrink()
         n = len(self.slots)
         slots = list(map(self.slots.__getitem__, pieces))
         if fresh := self.slots.fresh:
             ids, counts = self.missing(fresh)
             m, k = n + len(fresh), len(ids)
-            self.size, self.begin = self._room(self.size, m), self._room(self.begin, m)
+            self.size, self.begin, self.hits = (self._room(a, m) for a in (self.size, self.begin, self.hits))
             self.flat = self._room(self.flat, self.used + k)
             self.size[n:m], self.flat[self.used : self.used + k] = counts, ids
             self.begin[n:m] = self.used + np.cumsum(counts) - counts
@@ -209,6 +223,10 @@ class Codec:
                     at += c
             self.slots.fresh = []
         where = np.array(slots, np.int64)
+        self.turn += 1
+        if self.turn % 8 == 1:  # how often a piece is met is estimated from every eighth chunk
+            seen = np.bincount(where)
+            self.hits[: len(seen)] += seen
         size = self.size[where]
         return slots, gathered(self.flat, self.begin[where], size), size
 
@@ -246,7 +264,7 @@ def encode_texts(texts: list[str], path: str):
         pieces, starts, counts = pieces_of(part)
         slots, ids, sizes = codec.encode(pieces)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        base, shift, text = 0, 0, codec.text
+        base, shift, text = 0, 0, codec.text  # the list of this chunk: an overflow makes a new one
         for t, n in zip(part, counts.tolist()):
             own = slice(base, base + n)
             yield ids[ends[base] : ends[base + n]], [text[s] for s in slots[own]], starts[own] - shift, sizes[own]
@@ -270,6 +288,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     }
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, piece_starts array<int>, piece_ids array<int>")
 
 
@@ -292,12 +311,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         from hashlib import sha256
 
         _, vocabulary = own_codec(path)
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             n, said, back = [], [], []
             for ids, decimal, _, _ in encode_texts([t or "" for t in b.column("text").to_pylist()], path):
                 n.append(len(ids))
                 said.append(sha256(" ".join(decimal).encode()).hexdigest())
                 back.append(sha256(vocabulary.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
+        released()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

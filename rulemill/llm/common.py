@@ -36,9 +36,38 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches for long texts: by default 10,000 rows go to Python at once, here 1,000 rows or 8 MB. A session that
+    has its own setting keeps it."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+def released() -> None:
+    """Gives a Python worker's free memory back: idle workers stay while others need the executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``, from file sizes; no data is read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of what ``df`` is read from, by Catalyst's statistics of its leaves (file sizes; no data is read). Where a
+    leaf has none (rows that came from the driver) the texts are measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if total < 1 << 60:
+        return total
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in df.columns else F.lit(0)
+    return int(df.agg(F.coalesce(F.sum(size + 64), F.lit(0))).first()[0])
 
 
 def tasks_for(df: DataFrame, bytes_each: int, factor: float = 1.0) -> int:

@@ -63,10 +63,25 @@ def exact_groups(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return hot.select(rest.columns).union(rest)
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, digest, stored: all that deduplication moves."""
+    digest = F.sha2(lower_ascii(text_or_empty()).cast("binary"), 256)
+    return stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")), "digests")
+
+
 def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    digest = F.sha2(lower_ascii(text_or_empty()).cast("binary"), 256)
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")), "digests")
-    return exact_groups(rows, counters).select(
+    return exact_groups(digests(docs), counters).select(
         "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("digest").alias("text_sha256")
     )
+
+
+def without_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """The rows of ``docs`` that stay. The text is moved once, to meet the kept (doc_id, digest)."""
+    rows = digests(docs)
+    kept = exact_groups(rows, counters).where("uid = keep_uid").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(lower_ascii(text_or_empty()).cast("binary"), 256).alias("digest"))
+    found = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["digest"] == kept["_digest"]), "left_semi")
+    if rows.groupBy("doc_id", "digest").count().where("count > 1").head(1):  # rows repeated with their doc_id
+        found = found.dropDuplicates(["doc_id", "digest"])
+    return found.select("row.*")

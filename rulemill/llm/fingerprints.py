@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, tasks_for
+from .common import input_bytes, released, small_batches, tasks_for
 
 BLOCK = 1 << 20  # bytes of text hashed at once, a longer text alone
 _rng = np.random.default_rng(20240607)
@@ -112,6 +112,7 @@ def chunk_count(docs: DataFrame, least_bytes: int = 6 << 20, factor: float = 1.7
 
 def dealt(docs: DataFrame, chunks: int) -> DataFrame:
     """doc_id and text with a chunk number."""
+    small_batches(docs.sparkSession)
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
 
 
@@ -141,6 +142,8 @@ def sender(fingerprints: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
             if b > a:
                 out.append((r, chunk, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(np.minimum(counts[a:b], 65535).astype(np.uint16))))
         cols = list(zip(*out)) or [[]] * 4
+        del keys, counts
+        released()
         return pa.table({"range": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int32()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
 
     return run
@@ -166,6 +169,8 @@ def counter(code: Callable[[np.ndarray], np.ndarray]):
         codes = np.empty(len(every), np.uint8)
         codes[order] = code(total)[np.cumsum(new) - 1]
         parts = np.split(codes, sizes[:-1])
+        del keys, counts, every, order, ranked, total
+        released()
         return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "codes": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     return run

@@ -13,6 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released, small_batches
 from .html_blocks import Block, blocks_of
 
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "article", "boiler", "hint", "heading", "page_article")
@@ -96,8 +97,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             text = [main_text(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_pydict({"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64())})
+        released()
 
+    small_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -14,16 +14,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, class_table
+from .common import released, small_batches
 
 DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 CENTROIDS = 4  # a language
 SAMPLE = 500  # labelled documents a language for clustering and for the rejection bounds
-BLOCK = 1 << 20  # code points vectorised at once, a longer text alone
+BLOCK = 1 << 18  # code points vectorised at once, a longer text alone
+ROWS = 256  # rows taken out of an Arrow batch at once
 GROUPS = 16  # partial sums of document frequencies that reach the driver
 MARGIN = 0.25  # a document is rejected below this share of the least cosine seen at its length
 UNKNOWN = "und"
@@ -97,11 +100,13 @@ def _bucket(letters: np.ndarray) -> np.ndarray:
 def _frequencies(batches):
     df, n = np.zeros(DIMENSIONS, np.int64), 0
     for b in batches:
-        texts = [t for t in b.column("text").to_pylist() if t]
-        for at in range(0, len(texts), 256):
-            x, _ = counts_of(texts[at : at + 256])
-            df += (x > 0).sum(axis=0)
-            n += len(x)
+        for at in range(0, b.num_rows, ROWS):
+            texts = [t for t in b.column("text").slice(at, ROWS).to_pylist() if t]
+            if texts:
+                x, _ = counts_of(texts)
+                df += (x > 0).sum(axis=0)
+                n += len(x)
+    released()
     yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "df": pa.array([df.tobytes()], pa.binary())})
 
 
@@ -112,9 +117,8 @@ def _summed(group: pa.Table) -> pa.Table:
 
 def _vectors(batches):
     for b in batches:
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        for at in range(0, len(texts), 64):
-            x, letters = counts_of(texts[at : at + 64])
+        for at in range(0, b.num_rows, 64):
+            x, letters = counts_of([t or "" for t in b.column("text").slice(at, 64).to_pylist()])
             yield pa.RecordBatch.from_pydict({"lang": b.column("lang").slice(at, 64), "letters": pa.array(letters, pa.int64()), "x": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())})
 
 
@@ -125,6 +129,7 @@ def fold():
 
 def fit(docs: DataFrame, train=None, sample: int = SAMPLE, centroids: int = CENTROIDS):
     """(languages, idf, centroids, owner of each centroid, least cosine by length), or None if there is nothing to learn."""
+    small_batches(docs.sparkSession)
     train = fold() != 1 if train is None else train
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -172,25 +177,29 @@ def predict(texts: list[str], model):
 
 
 def identify(docs: DataFrame, model=None, fitted: bool = False) -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score and rejected. Without ``fitted`` the model is learned from ``docs``."""
+    """row (a struct of all columns of ``docs``, so that no name can clash), lang_pred, score and rejected. Without
+    ``fitted`` the model is learned from ``docs``."""
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+    small_batches(docs.sparkSession)
     if not fitted:
         model = fit(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages * CENTROIDS * DIMENSIONS numbers
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    schema = StructType([StructField("row", docs.schema), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
 
     def run(batches):
-        for b in batches:
-            got = predict([t or "" for t in b.column("text").to_pylist()], held.value)
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            rows = b.column(0)
+            got = predict([t or "" for t in pc.struct_field(rows, "text").to_pylist()], held.value)
             cols = list(zip(*got)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([rows, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=schema.names)
+        released()
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected."""
     model = fit(docs)
     slim = docs.select("doc_id", (fold() == 1).alias("held_out"), "text")
-    return identify(slim, model, fitted=True).drop("text").select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return identify(slim, model, fitted=True).select("row.doc_id", "row.held_out", "lang_pred", "score", "rejected")

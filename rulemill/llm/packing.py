@@ -21,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, chunks, pieces_of
-from .common import stored, tasks_for
+from .bpe import ROWS, Codec, chunks, pieces_of
+from .common import released, small_batches, stored, tasks_for
 
 LENGTH, END_ID = 2048, 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 SLACK = 4  # ids that a pattern may leave empty
-ROUNDS = 4000  # simplex steps at most
+ROUNDS = 1500  # simplex steps at most
 GAP = 0.005  # stop when the bound is as near
+COLUMNS = 8  # columns that one pricing may add
 
 
 @lru_cache(2)
@@ -39,10 +40,14 @@ def library_codec(path: str) -> Codec:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    octets = np.zeros(t.get_vocab_size(), np.int64)
+    for token, i in t.get_vocab().items():
+        octets[i] = len(token)  # a character of a byte-level token stands for one byte
 
     def missing(pieces):
-        e = t.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces))
+        ids = np.array(t.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        return ids, np.diff(np.searchsorted(np.cumsum(octets[ids]), ends) + 1, prepend=0)  # a piece's ids cover its bytes
 
     return Codec(missing)
 
@@ -71,7 +76,7 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row a document: counts, checksums of its full pieces, and its remainder's ids as 16-bit numbers."""
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in b.column("text").to_pylist()]
             out = []
             for ids in token_ids(texts, path):
@@ -83,25 +88,36 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary()]
             names = ["doc_tokens", "n_full", "full_crcs", "rem", "rem_crc", "rem_ids"]
             yield pa.RecordBatch.from_pydict({"uid": b.column("uid"), "doc_id": b.column("doc_id")} | {n: pa.array(c, t) for n, c, t in zip(names, cols, types)})
+        released()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, TOKENS)
 
 
-def knapsack(price: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The most valuable pattern for one sequence; ``price[l]`` is the value of a piece of length l (0 where none is)."""
+def knapsack(price: np.ndarray, capacity: int, most: int = 1) -> tuple[float, list[dict[int, int]]]:
+    """The value of the best pattern for one sequence, and up to ``most`` distinct patterns, each the best that holds some
+    length; ``price[n]`` is the value of a piece of length n (0 where none is)."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int32)
+    top = len(price) - 1
     for c in range(1, capacity + 1):
-        value = price[1 : c + 1] + best[c - 1 :: -1] if c < len(price) else price[1:] + best[c - 1 : c - len(price) : -1]
-        i = int(value.argmax())
+        value = price[1 : c + 1] + best[c - 1 :: -1] if c <= top else price[1:] + best[c - 1 : c - top - 1 : -1]
+        i = value.argmax()
         best[c], last[c] = value[i], i + 1
-    c, pattern = capacity, {}
-    while c > 0 and best[c] > 1e-12:
-        n = int(last[c])
-        if price[n] > 1e-12:
-            pattern[n] = pattern.get(n, 0) + 1
-        c -= n
-    return float(best[capacity]), pattern
+    held = np.where(price > 1e-12, price + best[capacity : capacity - top - 1 : -1], 0)
+    patterns = []
+    for n in np.argsort(-held, kind="stable")[: 4 * most].tolist():
+        if held[n] <= 1e-12 or len(patterns) == most:
+            break
+        pattern, c = {n: 1}, capacity - n
+        while c > 0 and best[c] > 1e-12:
+            k = int(last[c])
+            if price[k] > 1e-12:
+                pattern[k] = pattern.get(k, 0) + 1
+            c -= k
+        if pattern not in patterns:
+            patterns.append(pattern)
+    return float(best[capacity]), patterns
 
 
 def cutting_stock(demand: dict[int, int], capacity: int = LENGTH, rounds: int = ROUNDS, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
@@ -122,28 +138,31 @@ def cutting_stock(demand: dict[int, int], capacity: int = LENGTH, rounds: int =
             else:
                 k = fits[j]
                 inverse[j, i], use[j], patterns[i] = -1 / k, (need[j] - need[i]) / k, {n: 1, capacity - n: 1}
-    dual = inverse.sum(axis=0)
-    price = np.zeros(capacity)
-    for _ in range(rounds):
-        price[:] = 0
+    dual, price = inverse.sum(axis=0), np.zeros(max(lengths) + 1)
+    while rounds > 0:
         price[lengths] = np.maximum(dual, 0)
-        value, pattern = knapsack(price, capacity)
+        value, columns = knapsack(price, capacity, COLUMNS)
         if value <= 1 + gap:  # Farley's bound: the optimum is at least the present sum divided by value
             break
-        d = sum(inverse[:, row[n]] * k for n, k in pattern.items())
-        up = d > 1e-9
-        ratio = np.full(m, np.inf)
-        ratio[up] = use[up] / d[up]
-        out = int(ratio.argmin())
-        step = ratio[out]
-        use -= step * d
-        np.maximum(use, 0, out=use)
-        use[out] = step
-        pivot = inverse[out] / d[out]
-        touched = np.flatnonzero(np.abs(d) > 1e-12)
-        inverse[touched] -= np.outer(d[touched], pivot)
-        inverse[out] = pivot
-        patterns[out] = pattern
+        for pattern in columns:
+            at, k = [row[n] for n in pattern], np.array(list(pattern.values()), float)
+            if dual[at] @ k <= 1 + 1e-7:  # an earlier column of this round has made it worthless
+                continue
+            d = inverse[:, at] @ k
+            up = np.flatnonzero(d > 1e-9)
+            out = up[(use[up] / d[up]).argmin()]
+            step = use[out] / d[out]
+            use -= step * d
+            np.maximum(use, 0, out=use)
+            use[out] = step
+            pivot = inverse[out] / d[out]
+            touched = np.flatnonzero(np.abs(d) > 1e-12)
+            some = np.flatnonzero(pivot)
+            inverse[np.ix_(touched, some)] -= np.outer(d[touched], pivot[some])
+            dual[some] += pivot[some] * (1 - d.sum())  # the columns' sums after the exchange
+            inverse[out] = pivot
+            patterns[out] = pattern
+            rounds -= 1
         dual = inverse.sum(axis=0)
     return list(zip(patterns, use.tolist()))
 

@@ -202,7 +202,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one mark."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    d = personal_data(docs).withColumn("_all", F.array_sort(F.concat("base", "added")))
+    d = personal_data(docs.select(F.struct(*docs.columns).alias("row"), "text")).withColumn("_all", F.array_sort(F.concat("base", "added")))
     start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
@@ -211,4 +211,5 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["p"] + 1, F.length("text"))))
-    return d.withColumn("text", F.when(F.size("_all") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("_all") > 0, done).otherwise(F.col("text")).alias("text")
+    return d.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import released
 from .fingerprints import blocks, chunk_count, codes_of, counted, dealt, window_hashes, word_hashes
 
 WINDOW = 35
@@ -90,6 +91,8 @@ def _parser(window: int, with_text: bool):
             "kept_sha256": pa.array(digest, pa.string()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         }
+        del kept, every, place, found
+        released()
         return pa.table(cols | ({"kept_text": pa.array(out, pa.string())} if with_text else {}))
 
     return run

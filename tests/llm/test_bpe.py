@@ -24,6 +24,17 @@ def odd_texts():
     return ["".join(rnd.choices(alphabet, k=rnd.randint(0, 40))) for _ in range(3000)]
 
 
+def test_small_cache(theirs, monkeypatch):
+    from rulemill.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHED", 40)
+    monkeypatch.setattr(bpe, "CHUNK", 64)
+    bpe.own_codec.cache_clear()
+    for t, (ids, decimal, _, _) in zip(odd_texts(), bpe.encode_texts(odd_texts(), PATH), strict=True):
+        assert ids.tolist() == theirs.encode_ordinary(t) and " ".join(decimal) == " ".join(map(str, ids.tolist()))
+    bpe.own_codec.cache_clear()
+
+
 def test_against_library(theirs):
     from rulemill.llm.bpe import encode_texts, own_codec
 

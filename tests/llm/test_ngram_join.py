@@ -52,7 +52,7 @@ def test_join(spark, monkeypatch):
     texts = corpus()
     rnd = random.Random(2)
     ids = rnd.sample(range(10**6), len(texts))
-    for n, percent, members in ((3, 90, 256), (5, 80, 256), (3, 90, 7)):
+    for n, percent, members in ((5, 80, 256), (3, 90, 7)):
         monkeypatch.setattr(m, "MEMBERS", members)
         want = brute(texts, n, percent, ids)
         got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in m.ngram_join(docs(spark, texts, ids=ids), n, percent).collect()}

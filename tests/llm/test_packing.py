@@ -15,7 +15,7 @@ def test_knapsack_and_master():
 
     price = np.zeros(10)
     price[3], price[4] = 0.3, 0.45
-    assert knapsack(price, 10)[1] in ({3: 2, 4: 1}, {4: 2}) and abs(knapsack(price, 10)[0] - 1.05) < 1e-9
+    assert knapsack(price, 10)[1][0] in ({3: 2, 4: 1}, {4: 1, 3: 2}) and abs(knapsack(price, 10)[0] - 1.05) < 1e-9
     demand = {6: 100, 4: 100, 5: 60, 3: 10}
     plan = cutting_stock(demand, 10)
     assert abs(sum(x for _, x in plan) - 133) < 1.5

@@ -54,6 +54,23 @@ def test_pipeline(spark, tmp_path):
     _ = np
 
 
+def test_clashing_columns(spark):
+    """Extra columns keep their values, whatever names the stages use within."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+
+    names = ["uid", "digest", "_own", "_id", "_digest", "row", "_t", "base", "added", "_all", "score", "rejected", "lang_pred", "chunk", "sig", "rank", "rem", "salt", "kept", "component_id"]
+    d = docs(spark, ["the cat and a dog mail me@x.org", "the cat and a dog mail me@x.org", None, "another text of the corpus"], ["en"] * 4)
+    d = d.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in p.STAGES[:-1]:
+        d = stage(spark, d, "")
+    rows = d.collect()
+    assert {r.doc_id: r.text for r in rows} == {1: "the cat and a dog mail [EMAIL]", 3: "another text of the corpus"}
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert {r.doc_id for r in p.pack(spark, d, "").collect()} == {1, 3}
+
+
 def test_stages_on_empty(spark):
     import corpus_pipeline as p
 
