@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tasks_for
+from .common import released, stored, tasks_for
 from .components import Unions, connected_components
 from .fingerprints import blocks, chunk_count, codes_of, counted, dealt, mixed, window_hashes, word_hashes
 
 BITS = 40  # of a fingerprint, for counting
 MEMBERS = 256  # classes of a block
+SALTS = 16  # parts of the classes that share a token and a size
 HOT = 1024  # classes whose labels are broadcast at most: those with the most copies
 
 
@@ -90,6 +91,7 @@ def _prefixes(n: int, percent: int):
             tokens.append(s[order].view(np.int64))
             places.append(np.arange(alone, p, dtype=np.int32))
             blobs.append(s.tobytes())
+        released()
         return pa.table(
             {
                 "doc_id": group.column("doc_id").cast(pa.int64()),
@@ -202,8 +204,11 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     reps = able.join(classes, (able.sig == classes.sig) & (able.doc_id == classes.rep)).select("rep", "n_shingles", "tokens", "places", "shingles", "copies").dropDuplicates(["rep"])
     # candidate sets: classes with a token link to the least class of their size, sizes that may join link in order
     postings = able.join(classes, (able.sig == classes.sig) & (able.doc_id == classes.rep), "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("tokens").alias("token"))
-    lead = postings.groupBy("token", "n").agg(F.min("doc_id").alias("lead"))
-    same = postings.join(lead, ["token", "n"]).where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    postings = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))  # splits tokens that many classes share
+    local = postings.groupBy("token", "n", "salt").agg(F.min("doc_id").alias("local"))
+    same = postings.join(local, ["token", "n", "salt"]).where("doc_id <> local").select(F.col("doc_id").alias("a"), F.col("local").alias("b"))
+    lead = local.groupBy("token", "n").agg(F.min("local").alias("lead"))
+    same = same.union(local.join(lead, ["token", "n"]).where("local <> lead").select(F.col("local").alias("a"), F.col("lead").alias("b")))
     w = Window.partitionBy("token").orderBy("n")
     chain = lead.select("n", F.col("lead").alias("a"), F.lag("lead").over(w).alias("b"), F.lag("n").over(w).alias("m")).where(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
     sets = connected_components(same.union(chain.select("a", "b")).distinct())
