@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .bpe_rows import PairTable, merged
 from .common import released, small_batches
 
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
@@ -231,11 +232,6 @@ class Codec:
         return slots, gathered(self.flat, self.begin[where], size), size
 
 
-def _merged(pieces: list[str], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    ids = [merge(p.encode(), ranks) for p in pieces]
-    return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
-
-
 class Vocabulary:
     """Bytes of the ids, for vectorised decoding."""
 
@@ -251,10 +247,16 @@ class Vocabulary:
         return gathered(self.flat, self.begin[ids], self.size[ids]).tobytes()
 
 
+def codec_of(ranks: dict[bytes, int], alone, decimal: bool = False) -> Codec:
+    """A codec that merges unknown pieces many at once (``bpe_rows``); ``alone`` merges a long piece."""
+    table = PairTable(ranks)
+    return Codec(lambda pieces: merged([p.encode() for p in pieces], table, alone), decimal)
+
+
 @lru_cache(2)
 def own_codec(path: str) -> tuple[Codec, Vocabulary]:
     ranks = load_ranks(path)
-    return Codec(lambda pieces: _merged(pieces, ranks), decimal=True), Vocabulary(ranks)
+    return codec_of(ranks, lambda p: merge(p, ranks), decimal=True), Vocabulary(ranks)
 
 
 def encode_texts(texts: list[str], path: str):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ROWS, Codec, chunks, pieces_of
+from .bpe import ROWS, Codec, chunks, codec_of, pieces_of
 from .common import released, small_batches, stored, tasks_for
 
 LENGTH, END_ID = 2048, 1
@@ -32,24 +32,27 @@ GAP = 0.005  # stop when the bound is as near
 COLUMNS = 8  # columns that one pricing may add
 
 
+def byte_characters() -> dict[str, int]:
+    """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow
+    after 255 in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
+
+
 @lru_cache(2)
 def library_codec(path: str) -> Codec:
+    """The library's vocabulary. Its merges are made here many pieces at once (checked against the library in tests); the
+    library itself encodes long pieces."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    octets = np.zeros(t.get_vocab_size(), np.int64)
-    for token, i in t.get_vocab().items():
-        octets[i] = len(token)  # a character of a byte-level token stands for one byte
-
-    def missing(pieces):
-        ids = np.array(t.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
-        return ids, np.diff(np.searchsorted(np.cumsum(octets[ids]), ends) + 1, prepend=0)  # a piece's ids cover its bytes
-
-    return Codec(missing)
+    chars = byte_characters()
+    ranks = {bytes(chars[c] for c in token): i for token, i in t.get_vocab(with_added_tokens=False).items() if token != SPECIAL}
+    return codec_of(ranks, lambda p: t.encode(p.decode(), add_special_tokens=False).ids)
 
 
 def token_ids(texts: list[str], path: str):
