@@ -1,15 +1,20 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups (equal texts), law ``bytes``.
 
-Groups above ``total / (shards * FINE)`` bytes, a bounded number, are packed one by one. Smaller groups are first
+Groups above an even share of what is left have a shard of their own. Others above 1/``FINE`` of an even shard of the
+rest, a bounded number, are packed one by one. Smaller groups are first
 hashed onto a fixed number of pallets; a pallet is packed like a group, so no group is ever split and the driver sees
 a bounded number of items at any input size. Best fit finds the tightest bin through a balanced (AVL) tree; the least
-capacity that needs no more than the wanted shards is found by bisection.
+capacity that needs no more than the wanted shards is found by bisection. Dealing to the least loaded bin replaces it
+where that gives nearer sizes.
 
 Nulls: a null text has no bytes and belongs with empty texts. Empty tables give no rows. Repeated rows count each.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,8 +130,45 @@ def best_fit_decreasing(items: list[tuple[int, object]], capacity: int, most: in
     return placed
 
 
+def least_loaded(items: list[tuple[int, object]], bins: int) -> dict:
+    """Item -> bin: each item, by falling size, into the bin with the least load."""
+    loads, placed = [(0, b) for b in range(bins)], {}
+    for size, name in sorted(items, key=lambda x: (-x[0], str(x[1]))):
+        load, b = loads[0]
+        placed[name] = b
+        heapq.heapreplace(loads, (load + size, b))
+    return placed
+
+
+def alone(sizes: list[int], bins: int, total: int) -> int:
+    """How many of the largest sizes are above an even share of what is left of ``total`` by the larger ones: each needs a bin of its own."""
+    n = 0
+    for size in sorted(sizes, reverse=True):
+        if n + 1 >= bins or size * (bins - n) <= total:
+            break
+        n, total = n + 1, total - size
+    return n
+
+
 def even_bins(items: list[tuple[int, object]], bins: int) -> dict:
-    """Best fit decreasing at the least capacity, to 1/20000 of an even share, that needs no more than ``bins``."""
+    """Item -> bin. Items above an even share of what is left have a bin each. The others are packed by best fit decreasing at the
+    least capacity, to 1/20000 of an even share, that needs no more than the bins left, or evenly where that is nearer to equal loads."""
+    order = sorted(items, key=lambda x: (-x[0], str(x[1])))
+    n = alone([x[0] for x in items], bins, sum(x[0] for x in items))
+    rest, left = order[n:], bins - n
+    size = {name: s for s, name in rest}
+
+    def unevenness(placed):
+        loads = Counter()
+        for name, b in placed.items():
+            loads[b] += size[name]
+        return max(loads.values(), default=0), sum(x * x for x in loads.values())
+
+    found = min(_least_capacity(rest, left), least_loaded(rest, left), key=unevenness)
+    return {name: i for i, (_, name) in enumerate(order[:n])} | {name: n + b for name, b in found.items()}
+
+
+def _least_capacity(items: list[tuple[int, object]], bins: int) -> dict:
     total, largest = sum(x[0] for x in items), max((x[0] for x in items), default=1)
     low = max(largest, -(-total // bins), 1)
     step = max(1, low // 20_000)
@@ -163,7 +205,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, pallets_per_shard: int =
     pallet = F.pmod(F.xxhash64("g"), F.lit(pallets)).cast("int")
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    large = groups.where(F.col("bytes") > max(1, total // (shards * FINE))).collect()  # shards * FINE rows at most
+    least, left, bins = None, total, shards
+    while least is None or left // (bins * FINE) < least:  # again, finer, where groups with a shard of their own leave less
+        least = left // (bins * FINE)
+        large = groups.where(F.col("bytes") > max(1, least)).collect()  # shards * FINE rows at most
+        own = alone([r.bytes for r in large], shards, total)
+        bins, left = shards - own, total - sum(sorted((r.bytes for r in large), reverse=True)[:own])
     large_df = F.broadcast(spark.createDataFrame([(r.g, 0) for r in large], "g string, own int"))
     rest = groups.join(large_df.select("g"), "g", "left_anti").groupBy(pallet.alias("pallet")).agg(F.sum("bytes").alias("bytes"))
     items = [(r.bytes, r.g) for r in large] + [(r.bytes, r.pallet) for r in rest.collect()]  # and pallets rows at most

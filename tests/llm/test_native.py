@@ -93,3 +93,32 @@ def test_sharding(spark):
         load[b] += items[i][0]
     assert max(load.values()) <= 1.005 * sum(x for x, _ in items) / 24
     _ = F
+
+
+def test_sharding_with_large_groups(spark):
+    from rulemill.llm.sharding import even_bins, shard_documents
+
+    small = [(1000 + i * 7919 % 200, i) for i in range(3072)]
+    total = sum(x for x, _ in small)
+    for hot in ([total // 19], [total // 9], [total // 2], [99 * total], [total // 2, total // 3, total // 9]):
+        items = small + [(x, f"hot{i}") for i, x in enumerate(hot)]
+        size, load = {name: x for x, name in items}, Counter()
+        at = even_bins(items, 24)
+        for name, b in at.items():
+            load[b] += size[name]
+        assert set(load) == set(range(24))
+        others = [v for b, v in load.items() if b not in {at[f"hot{i}"] for i in range(len(hot))}]
+        assert len(others) == 24 - len(hot) and sum(others) == total
+        assert max(others) <= 1.01 * total / len(others) and min(others) >= 0.95 * total / len(others)
+    assert len(set(even_bins([(100, i) for i in range(25)], 24).values())) == 24
+    texts = [f"text {i} " * 20 for i in range(2000)]
+    for share in (0.5, 200):  # a third of the bytes, nearly all of them
+        hot = "hot " * int(share * sum(len(t) + 8 for t in texts) / 4 / 10)
+        rows = shard_documents(docs(spark, texts + [hot] * 10), 24).collect()
+        load = Counter()
+        for r in rows:
+            load[r.shard] += r.size
+        own = {r.shard for r in rows if r.doc_id >= len(texts)}
+        others = [v for b, v in load.items() if b not in own]
+        assert len(rows) == len(texts) + 10 and len(own) == 1 and len(others) == 23
+        assert max(others) <= 1.05 * sum(others) / 23 and min(others) >= 0.9 * sum(others) / 23
