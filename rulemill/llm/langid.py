@@ -2,8 +2,10 @@
 
 Document frequencies are counted over all training documents. Several centroids per language come from spherical
 k-means on a bounded sample (``SAMPLE`` documents a language, chosen by hash of doc_id). A document takes the language
-of the centroid with the largest cosine, which is its score; it is rejected when that cosine lies far below those of
-training documents of its length, or when nothing can be said (null, or no letter).
+of the centroid with the largest cosine, which is its score; it is rejected when that cosine lies below what training
+documents of that language and length, held back from their centroids, reach but for few, or when nothing can be said
+(null, or no letter). Lengths are powers of two of letters; beginnings of the documents stand for short texts, and the
+longest length with enough cosines stands for all above it.
 
 Nulls: a null or letterless text gives ``und`` with score 0 and is rejected; a null lang is not learned from; a null
 doc_id counts as the empty text in the fold rule. With nothing to learn from, every document is ``und``. Whole texts
@@ -28,7 +30,11 @@ SAMPLE = 500  # labelled documents a language for clustering and for the rejecti
 BLOCK = 1 << 18  # code points vectorised at once, a longer text alone
 ROWS = 256  # rows taken out of an Arrow batch at once
 GROUPS = 16  # partial sums of document frequencies that reach the driver
-MARGIN = 0.25  # a document is rejected below this share of the least cosine seen at its length
+FOLDS = 5  # parts of the sample, each compared with centroids of the others
+CUTS = [4 << k for k in range(8)]  # code points of the beginnings that stand for short texts
+LOW, LOW_SHORT, SHORT, MARGIN = 0.01, 0.02, 9, 0.75  # a document is rejected below MARGIN of this quantile of held-back cosines; short: under 2^SHORT letters
+ENOUGH = 30  # cosines; a length with fewer is joined with the next shorter one
+LENGTHS = 40
 UNKNOWN = "und"
 
 
@@ -97,6 +103,40 @@ def _bucket(letters: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(letters, 1)).astype(np.int64)
 
 
+def held_back(x: np.ndarray, letters: np.ndarray, texts: list[str], idf: np.ndarray, centroids: int) -> dict[int, list[float]]:
+    """Cosines by length of one language's documents, and of their beginnings, with the centroids of the other folds."""
+    found: dict[int, list[float]] = {}
+    folds = min(FOLDS, len(x))
+    fold = np.arange(len(x)) % folds
+    for f in range(folds if folds > 1 else 0):
+        c, at = spherical_kmeans(x[fold != f], centroids), np.flatnonzero(fold == f)
+        cuts = [texts[i][:k] for i in at for k in CUTS if k < len(texts[i])]
+        parts = [(x[at], letters[at])]
+        for i in range(0, len(cuts), ROWS):
+            counts, n = counts_of(cuts[i : i + ROWS])
+            parts.append((weighted(counts, idf), n))
+        for v, n in parts:
+            for b, cos, m in zip(_bucket(n).tolist(), (v @ c.T).max(axis=1).tolist(), n.tolist()):
+                if m:
+                    found.setdefault(b, []).append(cos)
+    return found
+
+
+def bounds(found: dict[int, list[float]]) -> np.ndarray:
+    """Least accepted cosine by length. It never falls as texts get longer."""
+    out, best, more = np.full(LENGTHS, np.nan), np.inf, []
+    for b in range(max(found, default=-1), -1, -1):
+        more = more + found.get(b, [])
+        if len(more) >= ENOUGH or (b == 0 and more and np.isnan(out).all()):
+            best = min(best, float(np.quantile(more, LOW_SHORT if b < SHORT else LOW)) * MARGIN)
+            out[b], more = best, []
+    known = np.flatnonzero(~np.isnan(out))
+    if not len(known):
+        return out
+    # a length without a bound takes that of the next shorter one, or of the least known
+    return out[known[np.maximum(np.searchsorted(known, np.arange(LENGTHS), "right") - 1, 0)]]
+
+
 def _frequencies(batches):
     df, n = np.zeros(DIMENSIONS, np.int64), 0
     for b in batches:
@@ -118,8 +158,10 @@ def _summed(group: pa.Table) -> pa.Table:
 def _vectors(batches):
     for b in batches:
         for at in range(0, b.num_rows, 64):
-            x, letters = counts_of([t or "" for t in b.column("text").slice(at, 64).to_pylist()])
-            yield pa.RecordBatch.from_pydict({"lang": b.column("lang").slice(at, 64), "letters": pa.array(letters, pa.int64()), "x": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())})
+            texts = [t or "" for t in b.column("text").slice(at, 64).to_pylist()]
+            x, letters = counts_of(texts)
+            begin = pa.array([t[: CUTS[-1] + 1] for t in texts], pa.string())
+            yield pa.RecordBatch.from_pydict({"lang": b.column("lang").slice(at, 64), "letters": pa.array(letters, pa.int64()), "x": pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), "begin": begin})
 
 
 def fold():
@@ -128,7 +170,7 @@ def fold():
 
 
 def fit(docs: DataFrame, train=None, sample: int = SAMPLE, centroids: int = CENTROIDS):
-    """(languages, idf, centroids, owner of each centroid, least cosine by length), or None if there is nothing to learn."""
+    """(languages, idf, centroids, owner of each centroid, least accepted cosine by language and length), or None if there is nothing to learn."""
     small_batches(docs.sparkSession)
     train = fold() != 1 if train is None else train
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
@@ -140,23 +182,24 @@ def fit(docs: DataFrame, train=None, sample: int = SAMPLE, centroids: int = CENT
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     share = F.create_map(*[v for k, m in sizes.items() for v in (F.lit(k), F.lit(min(1.0, sample / m)))])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    rows = known.where(draw).select("lang", "text").mapInArrow(_vectors, "lang string, letters long, x binary").collect()
+    rows = known.where(draw).select("lang", "text").mapInArrow(_vectors, "lang string, letters long, x binary, begin string").collect()
     languages = sorted(sizes)
-    cents, owner, lows = [], [], np.full(40, np.inf)
+    cents, owner, lows = [], [], np.full((len(languages), LENGTHS), np.nan)
     for i, lang in enumerate(languages):
         own = [r for r in rows if r.lang == lang and r.letters > 0]
         if not own:
             continue
         x = weighted(np.stack([np.frombuffer(r.x, np.float32) for r in own]), idf)
         c = spherical_kmeans(x, centroids)
-        best, bucket = (x @ c.T).max(axis=1), _bucket(np.array([r.letters for r in own]))
-        np.minimum.at(lows, bucket, best)
+        lows[i] = bounds(held_back(x, np.array([r.letters for r in own]), [r.begin for r in own], idf, centroids))
         cents.append(c)
         owner += [i] * len(c)
     if not cents:
         return None
-    around = np.minimum(np.minimum(lows, np.append(lows[1:], np.inf)), np.append(np.inf, lows[:-1]))
-    return languages, idf, np.concatenate(cents), np.array(owner), np.where(np.isfinite(around), around * MARGIN, 0.0)
+    # a language with a single document has nothing to hold back and takes the least bound of the others
+    least = np.where(np.isnan(lows), np.inf, lows).min(axis=0)
+    lows = np.where(np.isnan(lows), np.where(np.isfinite(least), least, 0.0), lows)
+    return languages, idf, np.concatenate(cents), np.array(owner), lows
 
 
 def predict(texts: list[str], model):
@@ -170,7 +213,7 @@ def predict(texts: list[str], model):
         cos = weighted(counts, idf) @ cents.T
         best = cos.argmax(axis=1)
         value = np.clip(cos[np.arange(len(best)), best], 0, 1)
-        low = lows[np.minimum(_bucket(letters), len(lows) - 1)]
+        low = lows[owner[best], np.minimum(_bucket(letters), LENGTHS - 1)]
         for b, v, n, m in zip(best.tolist(), value.tolist(), letters.tolist(), low.tolist()):
             out.append((languages[owner[b]], v, v < m) if n else (UNKNOWN, 0.0, True))
     return out

@@ -49,3 +49,33 @@ def test_counts():
     assert np.array_equal(a[0], a[2]) and n.tolist() == [4, 0, 4, 0] and a[0].sum() == 7 + 6 + 5
     x = np.eye(4, dtype=np.float32)[[0, 0, 1, 1, 2]]
     assert sorted(spherical_kmeans(x, 3).argmax(axis=1).tolist()) == [0, 1, 2]
+
+
+def test_rejection(spark):
+    from rulemill.llm.langid import fit, predict
+
+    rnd = random.Random(3)
+    texts, langs = corpus()
+    for i in range(120):
+        lang = ["en", "de", "fr"][i % 3]
+        texts.append(" ".join(rnd.choices(WORDS[lang] + [w[::-1] + w for w in WORDS[lang]], k=rnd.randint(100, 600))))
+        langs.append(lang)
+    model = fit(docs(spark, texts, langs))
+    clean = [" ".join(rnd.choices(WORDS[lang], k=k)) for lang in WORDS for k in (3, 6, 12, 25, 50, 400, 5000) for _ in range(20)]
+    assert sum(r for _, _, r in predict(clean, model)) <= 0.02 * len(clean)
+    finnish = "suomessa on tuhansia järviä ja metsät peittävät suuren osan maasta joten ihmiset viihtyvät luonnossa kesällä talvella".split()
+    turkish = "türkiyenin kalabalık şehri olan tarihi boyunca birçok uygarlığa sahipliği yapmıştır bugün hava çok güzel olduğu için çocuklar".split()
+    for n in (140, 500, 2000, 30000):
+        other = [" ".join(rnd.choices(w, k=n // 4))[:n] for w in (finnish, turkish) for _ in range(10)]
+        other += ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for _ in range(10)]
+        assert all(r for _, _, r in predict(other, model)), n
+
+
+def test_bounds():
+    import numpy as np
+
+    from rulemill.llm.langid import LENGTHS, MARGIN, bounds
+
+    b = bounds({3: [0.2] * 100, 7: [0.4] * 100, 9: [0.8] * 3})
+    assert len(b) == LENGTHS and np.allclose(b[:7], 0.2 * MARGIN) and np.allclose(b[7:], b[7]) and b[7] >= 0.4 * MARGIN
+    assert np.isnan(bounds({})).all() and np.isfinite(bounds({5: [0.5]})).all()
