@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from html import unescape
 
 #: Element names by role.
-SKIPPED = "script style noscript template svg math head title textarea select button iframe object canvas audio video datalist".split()
+SCRIPT = "script style".split()  # what they hold is no markup: an end tag is missed up to the end of the page
+SKIPPED = "noscript template svg math title textarea select button iframe object canvas audio video datalist".split()
 BLOCK = (
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
@@ -23,7 +24,10 @@ HINTS = (
 ).split()
 ARTICLE_HINTS = "article post entry story content main body text page".split()
 _HINTS, _ARTICLE_HINTS = set(HINTS), set(ARTICLE_HINTS)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*>", re.S | re.I)
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+_LEFT_OUT = r"<!--.*?(?:-->|\Z)|<(?P<script>" + "|".join(SCRIPT) + r")\b" + _ATTRS + r"(?<!/)>.*?(?:</(?P=script)\s*>|\Z)"
+_TAG = re.compile(_LEFT_OUT + r"|<(?P<raw>" + "|".join(SKIPPED) + r")\b" + _ATTRS + r"(?<!/)>|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>" + _ATTRS + r")>|<[!?][^>]*>|</?[a-zA-Z][^<>]*>", re.S | re.I)
+_PAIR = re.compile(_LEFT_OUT + r"|<(?P<raw>" + "|".join(SKIPPED) + r")\b" + _ATTRS + r"(?<!/)>|</(?P<end>" + "|".join(SKIPPED) + r")\s*>", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"\S+")
@@ -59,30 +63,44 @@ def _flags(name: str, attrs: str) -> tuple[int, int, int, int]:
     return article, boiler, hint, hidden
 
 
+def _ends(html: str) -> dict[int, int]:
+    """Where each skipped element that has an end tag ends, by where it starts. An end tag closes the last open element of its name."""
+    ends, opened = {}, {}
+    for m in _PAIR.finditer(html):
+        if m["raw"]:
+            opened.setdefault(m["raw"].lower(), []).append(m.start())
+        elif m["end"] and opened.get(m["end"].lower()):
+            ends[opened[m["end"].lower()].pop()] = m.end()
+    return ends
+
+
 def blocks_of(html: str) -> list[Block]:
-    """Blocks with text, in page order. Character references are decoded; white space becomes one blank."""
+    """Blocks with text, in page order. Character references are decoded; white space becomes one blank. What stands in
+    ``head`` is skipped by element, so that its end tag may be missing; a skipped element without an end tag ends at the
+    next tag of a block."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[int, int, int, int]]] = []
     state = [0, 0, 0, 0]
     buffer: list[str] = []
     links: list[str] = []
-    in_link, at, heading = 0, 0, 0
+    in_link, at, heading, muted = 0, 0, 0, False
+    ends = _ends(html)
 
     def flush():
-        nonlocal buffer, links
+        nonlocal buffer, links, muted
         text = " ".join(unescape("".join(buffer)).split()) if buffer else ""
         if text and not state[3]:
             n = len(_WORDS.findall(text))
             out.append(Block(text, n, min(n, len(unescape(" ".join(links)).split())), int(state[0] > 0), int(state[1] > 0), int(state[2] > 0), heading))
-        buffer, links = [], []
+        buffer, links, muted = [], [], False
 
     def pop():
         name, flags = stack.pop()
         for i in range(4):
             state[i] -= flags[i]
 
-    for m in _TAG.finditer(html):
-        if m.start() > at:
+    while m := _TAG.search(html, at):
+        if m.start() > at and not muted:
             piece = html[at : m.start()]
             buffer.append(piece)
             if in_link:
@@ -90,10 +108,18 @@ def blocks_of(html: str) -> list[Block]:
         at = m.end()
         name = m["name"]
         if name is None:
-            if m["raw"] and m["raw"].lower() in ("head", "title"):
-                flush()
+            if m["raw"]:
+                if m["raw"].lower() == "title":
+                    flush()
+                at = ends.get(m.start(), at)
+                muted = muted or m.start() not in ends
             continue
         name = name.lower()
+        if name == "head":
+            flush()
+            continue
+        if name == "option" and muted:  # of a list without an end tag
+            continue
         if m["close"]:
             if name == "a":
                 in_link = max(0, in_link - 1)
@@ -128,7 +154,7 @@ def blocks_of(html: str) -> list[Block]:
                 stack.append((name, flags))
                 for i in range(4):
                     state[i] += flags[i]
-    if at < len(html):
+    if at < len(html) and not muted:
         buffer.append(html[at:])
     flush()
     return out

@@ -48,3 +48,23 @@ def test_query(spark):
     for r in extract_pages(pages).collect():
         assert r.text == main_text(html[r.page_id]) and r.n_chars == len(r.text)
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_missing_end_tags():
+    from rulemill.llm.html_extract import main_text
+
+    assert main_text("<html><head><title>T</title><body><article><p>Main text here.</p>") == "Main text here."
+    a, b = "First text of the article, quite long.", "Second text of the article, quite long."
+    page = f"<article><p>{a}</p>%s<p>{b}</p></article>"
+    for head in ("<head>", "<head><title>T", "<head><meta charset=u><title>T</title><link rel=x>", "<head><script>'<body><p>no</p>'</script><style>p</style>", "<head id=header class=banner>"):
+        for body in ("", "<body>", "</head><body>", "</head>"):
+            assert main_text(head + body + page % "") == f"{a}\n{b}", (head, body)
+    for name in "select button object textarea svg noscript template canvas audio video iframe datalist math".split():
+        assert main_text(page % f"<{name} x='>'>gone") == f"{a}\n{b}", name
+        assert main_text(page % f"<{name}>gone" + f"<p>x</p><{name}>gone</{name}>") == main_text(page % "" + "<p>x</p>"), name
+        assert main_text(page % f"<{name}><div>gone</div><p>gone</p></{name}>") == f"{a}\n{b}", name
+        assert main_text(page % f"<{name}>gone<script>'</{name}>'</script></{name}>") == f"{a}\n{b}", name
+    assert main_text(page % "<object><p>gone</p><object>gone</object><p>gone</p></object>") == f"{a}\n{b}"
+    assert main_text(page % "<script>'<p>gone</p>'") == a
+    assert main_text(page % "<select><option>gone</option><option>gone") == f"{a}\n{b}"
+    main_text("<button>" * 20000), main_text("<object><p>" * 20000), main_text("<svg>" * 9000 + "</svg>" * 9000)
