@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,32 +96,68 @@ def expand_definitions(terms: DataFrame, uses: DataFrame, depth: int) -> DataFra
     return seen.select(*return_cols)
 
 
-MOST = 5000  # vertices of a component that Bron-Kerbosch takes
-
-
-def maximal_cliques(edges: DataFrame, components: DataFrame, most: int = MOST) -> DataFrame:
-    """(component, clique) for each component of the similarity graph. A component above ``most`` vertices is reported
-    with a null clique instead of being cut. edges: src, dst; components: node, component."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > most).select("component", F.lit(None).cast("array<long>").alias("clique"))
-    small = edges.join(components.withColumnRenamed("node", "src"), "src").join(sizes.where(F.col("n") <= most), "component").select("component", "src", "dst")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        out, stack = [], [(set(), set(near), set())]
-        while stack:
-            r, p, x = stack.pop()
-            if not p and not x:
-                out.append(sorted(r))
-                continue
-            pivot = max(p | x, key=lambda v: (len(near[v] & p), -v))
-            for v in sorted(p - near[pivot]):
-                stack.append((r | {v}, p & near[v], x & near[v]))
-                p = p - {v}
-                x = x | {v}
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "clique": sorted(out)})
-
-    return small.groupBy("component").applyInPandas(run, "component long, clique array<long>").union(large)
+def maximal_cliques(edges: DataFrame, components: DataFrame, most: int | None = None) -> DataFrame:
+    """(component, clique) for every maximal clique of the similarity graph, each found at its first vertex by (degree, id):
+    one bounded search a vertex over its later neighbours, so that a component of any size is spread over tasks. Earlier
+    neighbours only tell what isn't maximal; those that see the same later neighbours count once. Only where ``most`` is
+    given, a component above so many vertices is reported with a null clique. edges: src, dst; components: node, component."""
+    pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    large = None
+    if most is not None:
+        sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+        large = sizes.where(F.col("n") > most).select("component", F.lit(None).cast("array<long>").alias("clique"))
+        few = components.join(sizes.where(F.col("n") <= most), "component", "left_semi").select(F.col("node").alias("src"))
+        pairs = pairs.join(few, "src", "left_semi")
+    pairs = cut(pairs)
+    degree = both_ways(pairs).groupBy("src").agg(F.count("*").alias("d"))
+    ranked = pairs.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
+    first = F.col("d") < F.col("e")
+    first = first | (F.col("d") == F.col("e")) & (F.col("src") < F.col("dst"))
+    later = cut(ranked.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("v")))
+    # triangles u, a, b in this order: from the earliest vertex two edges go out, the third joins their ends
+    wedge = later.select("u", F.col("v").alias("a")).join(later.select("u", F.col("v").alias("b")), "u").where("a <> b")
+    triangle = cut(wedge.join(later.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"]).select("u", "a", "b"))
+    kind = "array<long>"
+    inner = triangle.groupBy("u", "a").agg(F.sort_array(F.collect_set("b")).cast(kind).alias("sees"))
+    own = later.withColumnRenamed("v", "a").join(inner, ["u", "a"], "left").select(F.col("u").alias("vertex"), F.col("a").cast("long").alias("near"), F.coalesce("sees", F.array().cast(kind)).alias("sees"))
+    outer = triangle.groupBy("u", F.col("a").alias("vertex")).agg(F.sort_array(F.collect_set("b")).cast(kind).alias("sees")).select("vertex", F.lit(None).cast("long").alias("near"), "sees").distinct()
+    searches = own.union(outer).groupBy("vertex").agg(F.collect_list(F.struct("near", "sees")).alias("around"))
+    searches = searches.join(components.select(F.col("node").alias("vertex"), "component"), "vertex").select(F.col("component").cast("long"), F.col("vertex").cast("long"), "around")
+
+    def run(batches):
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                found = sorted(_cliques(row["vertex"], row["around"]))
+                for i in range(0, len(found), 1000):
+                    part = found[i : i + 1000]
+                    yield pa.RecordBatch.from_pydict({"component": pa.array([row["component"]] * len(part), pa.int64()), "clique": pa.array(part, pa.list_(pa.int64()))})
+
+    out = searches.mapInArrow(run, "component long, clique array<long>")
+    return out if large is None else out.union(large)
+
+
+def _cliques(vertex: int, around: list[dict]):
+    """Maximal cliques whose first vertex is given. Entries with ``near`` are its later neighbours and whom of their later
+    neighbours they see, those without are earlier neighbours."""
+    names = sorted(a["near"] for a in around if a["near"] is not None)
+    at = {name: i for i, name in enumerate(names)}
+    near: list[set[int]] = [set() for _ in around]
+    earlier = len(names)
+    for a in around:
+        me = at.get(a["near"], earlier)
+        earlier += a["near"] is None
+        for b in a["sees"]:
+            near[me].add(at[b])
+            near[at[b]].add(me)
+    stack = [([], set(range(len(names))), set(range(len(names), len(near))))]
+    while stack:
+        r, p, x = stack.pop()
+        if not p and not x:
+            yield sorted([vertex, *(names[i] for i in r)])
+        if not p:
+            continue
+        pivot = max(p | x, key=lambda v: (len(near[v] & p), -v))
+        for v in sorted(p - near[pivot]):
+            stack.append(([*r, v], p & near[v], x & near[v]))
+            p = p - {v}
+            x = x | {v}

@@ -117,6 +117,34 @@ def test_cliques(spark):
     assert graph.maximal_cliques(e, comp, most=2).first().clique is None
 
 
+def test_cliques_of_a_large_component(spark):
+    rnd = random.Random(5)
+    chain = [(i, i + 1) for i in range(6000)]  # one component of over 5,000 vertices
+    dense = [(a, b) for a, b in itertools.combinations(range(0, 60, 2), 2) if rnd.random() < 0.6]
+    hub = [(7000, i) for i in range(0, 400)]
+    pairs = set(chain + dense + hub)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = []
+
+    def grow(r, p, x):
+        if not p and not x:
+            want.append(sorted(r))
+        for v in sorted(p):
+            grow(r | {v}, p & near[v], x & near[v])
+            p, x = p - {v}, x | {v}
+
+    for v in near:  # at its least vertex
+        grow({v}, {w for w in near[v] if w > v}, {w for w in near[v] if w < v})
+    edges = [*pairs, *[(b, a) for a, b in dense[:20]], *dense[:5], (3, 3)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    comp = spark.createDataFrame([(v, 0) for v in near], "node long, component long")
+    rows = graph.maximal_cliques(e, comp).collect()
+    assert {r.component for r in rows} == {0} and sorted(r.clique for r in rows) == sorted(want)
+
+
 def test_reasoning(spark):
     rules = spark.createDataFrame(
         [(1, 10, "ext.san", "must_exist", None, 5.0, "CABF-BR", "2020-01-01"), (2, 20, "ext.san", "must_not_exist", 5.0, None, "RFC", "2021-01-01"), (3, 20, "ext.san", "must_not_exist", 6.0, None, "RFC", "2021-01-01"), (4, 10, "ext.san", "must_not_exist", None, None, "CABF-BR", "2020-01-01"), (5, 30, "ext.san.dns", "must_exist", None, None, "X", "2022-01-01")],
