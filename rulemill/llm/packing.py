@@ -2,13 +2,17 @@
 
 A document is its ids and an end id. Every 2,048 ids from its start fill a sequence of their own; the remainders, at
 most 2,047 lengths whatever the corpus, form the histogram. A linear program over patterns of lengths (revised simplex;
-unbounded knapsack by dynamic programming prices new columns) says how often each pattern is used; the counts are
-rounded down, and patterns that fill a sequence exactly are given to documents by their rank within their length.
-What is left is laid end to end and cut freely, its last ids into sequences of powers of two: nothing is padded but the
-few ids by which an accepted pattern falls short (``slack``).
-
-Ranks are counted in cells of (length, salt), so that no length, however frequent, meets in one task. Nulls: a null
-text is empty and holds the end id alone. Repeated rows are packed each; an empty table gives no rows.
+unbounded knapsack by dynamic programming prices new columns) says how often each pattern is used. The uses of patterns
+that fill a sequence (but for ``slack`` ids) are rounded down, then up by their fractions while demands last. What that
+leaves, some pieces a pattern, is priced again by a bounded knapsack over the lengths left, longest first, each pattern
+used as often as the lengths left allow. Lengths that no pattern fills (say, all of 1,500) take the pattern with the
+least waste for as many sequences as their ids need, and the documents left over are cut to fill the holes; so only
+structure, not rounding, cuts documents. The last ids, under 2,048, go to sequences of powers of two.
+
+Patterns are given to documents by their rank within their length. Ranks are counted in cells of (length, salt), so that
+no length, however frequent, meets in one task. Nulls: a null text is empty and holds the end id alone. Very long texts
+fill sequences of their own; ties in length go by row. Repeated rows are packed each; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ from .common import released, small_batches, stored, tasks_for
 LENGTH, END_ID = 2048, 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 SLACK = 4  # ids that a pattern may leave empty
-ROUNDS = 1500  # simplex steps at most
-GAP = 0.005  # stop when the bound is as near
+ROUNDS = 300  # simplex steps at most
+GAP = 0.0002  # stop when the bound is as near
 COLUMNS = 8  # columns that one pricing may add
 
 
@@ -123,51 +127,97 @@ def knapsack(price: np.ndarray, capacity: int, most: int = 1) -> tuple[float, li
     return float(best[capacity]), patterns
 
 
+def least_waste(left: dict[int, int], first: int, capacity: int = LENGTH) -> tuple[dict[int, int], int]:
+    """The pattern with ``first`` and other lengths of ``left`` that fills the sequence most, and its waste: a bounded
+    knapsack by dynamic programming over bit sets of sums, long pieces first."""
+    target = capacity - first
+    mask, sums, steps = (1 << (target + 1)) - 1, 1, []
+    for n in sorted(left, reverse=True):
+        for _ in range(min(left[n] - (n == first), target // n)):
+            more = (sums | (sums << n)) & mask
+            if more == sums:
+                break
+            steps.append((n, sums))
+            sums = more
+        if sums >> target & 1:
+            break
+    at = sums.bit_length() - 1
+    pattern, waste = {first: 1}, target - at
+    for n, before in reversed(steps):
+        if not before >> at & 1:
+            pattern[n] = pattern.get(n, 0) + 1
+            at -= n
+    return pattern, waste
+
+
+def starting_basis(demand: dict[int, int], capacity: int = LENGTH):
+    """Patterns, their fractional use and the basis inverse to start the simplex from: for the longest length left, the
+    fullest pattern is used until a length is used up. A pattern holds no length used up before, so the basis is triangular."""
+    left, order, columns, use = {n: float(k) for n, k in demand.items()}, [], [], []
+    while left:
+        pattern, _ = least_waste({n: -int(-k // 1) for n, k in left.items()}, max(left), capacity)
+        times = min(left[n] / k for n, k in pattern.items())
+        out = []
+        for n, k in pattern.items():
+            left[n] -= k * times
+            if left[n] <= 1e-9 * demand[n]:
+                del left[n]
+                out.append(n)
+        columns += [pattern, *({n: capacity // n} for n in out[1:])]  # lengths used up at once: a column of their own, unused
+        use += [times] + [0.0] * (len(out) - 1)
+        order += out
+    row = {n: i for i, n in enumerate(order)}
+    basis = np.zeros((len(order), len(order)))
+    for j, pattern in enumerate(columns):
+        for n, k in pattern.items():
+            basis[row[n], j] = k
+    return order, columns, np.array(use), np.linalg.inv(basis)
+
+
 def cutting_stock(demand: dict[int, int], capacity: int = LENGTH, rounds: int = ROUNDS, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
     """Patterns and their fractional use, by column generation on the master program: least sequences, demands met."""
-    lengths = sorted(demand)
-    m = len(lengths)
-    if not m:
+    if not demand:
         return []
-    row = {n: i for i, n in enumerate(lengths)}
-    need = np.array([demand[n] for n in lengths], float)
-    fits = np.array([capacity // n for n in lengths], float)
-    inverse, use, patterns = np.diag(1 / fits), need / fits, [{n: capacity // n} for n in lengths]
-    for n in lengths:  # a long length and its complement fill a sequence: the rarer one is used up so
-        if 2 * n > capacity and capacity - n in row:
-            i, j = row[n], row[capacity - n]
-            if need[i] >= need[j]:
-                inverse[j, j], inverse[i, j], use[j], use[i], patterns[j] = 1, -1, need[j], need[i] - need[j], {n: 1, capacity - n: 1}
-            else:
-                k = fits[j]
-                inverse[j, i], use[j], patterns[i] = -1 / k, (need[j] - need[i]) / k, {n: 1, capacity - n: 1}
-    dual, price = inverse.sum(axis=0), np.zeros(max(lengths) + 1)
-    while rounds > 0:
-        price[lengths] = np.maximum(dual, 0)
-        value, columns = knapsack(price, capacity, COLUMNS)
-        if value <= 1 + gap:  # Farley's bound: the optimum is at least the present sum divided by value
-            break
-        for pattern in columns:
-            at, k = [row[n] for n in pattern], np.array(list(pattern.values()), float)
-            if dual[at] @ k <= 1 + 1e-7:  # an earlier column of this round has made it worthless
-                continue
-            d = inverse[:, at] @ k
-            up = np.flatnonzero(d > 1e-9)
-            out = up[(use[up] / d[up]).argmin()]
-            step = use[out] / d[out]
-            use -= step * d
-            np.maximum(use, 0, out=use)
-            use[out] = step
-            pivot = inverse[out] / d[out]
-            touched = np.flatnonzero(np.abs(d) > 1e-12)
-            some = np.flatnonzero(pivot)
-            inverse[np.ix_(touched, some)] -= np.outer(d[touched], pivot[some])
-            dual[some] += pivot[some] * (1 - d.sum())  # the columns' sums after the exchange
-            inverse[out] = pivot
-            patterns[out] = pattern
-            rounds -= 1
-        dual = inverse.sum(axis=0)
-    return list(zip(patterns, use.tolist()))
+    lengths, patterns, use, inverse = starting_basis(demand, capacity)
+    row, ids = {n: i for i, n in enumerate(lengths)}, sum(n * k for n, k in demand.items())
+    cost, price = np.ones(len(lengths)), np.zeros(max(lengths) + 1)
+    dual = cost @ inverse
+
+    def enter(at, k, pattern) -> bool:
+        """Brings a column into the basis: a pattern, or (None) what is made of a length beyond its demand, at no cost."""
+        own = float(pattern is not None)
+        if dual[at] @ k <= own + 1e-7:  # an earlier column of this round has made it worthless
+            return False
+        d = inverse[:, at] @ k
+        up = np.flatnonzero(d > 1e-9)
+        if not len(up):
+            return False
+        out = up[(use[up] / d[up]).argmin()]
+        step = use[out] / d[out]
+        np.maximum(use - step * d, 0, out=use)
+        use[out] = step
+        pivot, gain = inverse[out] / d[out], own - cost @ d
+        touched, some = np.flatnonzero(np.abs(d) > 1e-12), np.flatnonzero(pivot)
+        inverse[np.ix_(touched, some)] -= np.outer(d[touched], pivot[some])
+        inverse[out] = pivot
+        dual[some] += pivot[some] * gain
+        patterns[out], cost[out] = pattern, own
+        return True
+
+    while rounds > 0 and cost @ use > (1 + gap) * ids / capacity:  # no plan needs fewer sequences than the ids fill
+        low = [i for i in dual.argsort()[:COLUMNS] if dual[i] < -1e-7]
+        moved = sum(enter(np.array([i]), np.array([-1.0]), None) for i in low)
+        if not moved:
+            price[lengths] = np.maximum(dual, 0)
+            value, columns = knapsack(price, capacity, COLUMNS)
+            if value <= 1 + gap:  # Farley's bound: the optimum is at least the present sum divided by value
+                break
+            moved = sum(enter(np.array([row[n] for n in p]), np.array(list(p.values()), float), p) for p in columns)
+            if not moved:
+                break
+        rounds -= moved
+        dual = cost @ inverse
+    return [(p, x) for p, x in zip(patterns, use.tolist()) if p]
 
 
 def rounded(plan, demand: dict[int, int], capacity: int = LENGTH, slack: int = SLACK) -> list[tuple[dict[int, int], int]]:
@@ -181,14 +231,80 @@ def rounded(plan, demand: dict[int, int], capacity: int = LENGTH, slack: int = S
             left[n] -= k * times
     for i in sorted(range(len(full)), key=lambda i: -(full[i][1] % 1)):
         p = full[i][0]
-        more = min(left[n] // k for n, k in p.items())
-        if more > 0:
-            out[i] += more
+        if full[i][1] % 1 > 1e-6 and all(left[n] >= k for n, k in p.items()):
+            out[i] += 1
             for n, k in p.items():
-                left[n] -= k * more
+                left[n] -= k
     return [(full[i][0], t) for i, t in out.items() if t]
 
 
+def residual(demand: dict[int, int], used, capacity: int = LENGTH, slack: int = SLACK):
+    """More patterns for what ``used`` leaves of ``demand``: those within ``slack``, and those with holes, each as often as
+    the lengths left allow; every step uses up a length, so there are few steps at any demand."""
+    left = {n: k - sum(p.get(n, 0) * t for p, t in used) for n, k in demand.items()}
+    left = {n: k for n, k in left.items() if k}
+    filled, aside = [], {}
+    while left:
+        first = max(left)
+        pattern, waste = least_waste(left, first, capacity)
+        if waste > slack:
+            aside[first] = left.pop(first)
+            continue
+        times = min(left[n] // k for n, k in pattern.items())
+        filled.append((pattern, times))
+        for n, k in pattern.items():
+            left[n] -= k * times
+            if not left[n]:
+                del left[n]
+    # lengths that nothing fills: least waste first, in all as many sequences as their ids need
+    room, holed = sum(n * k for n, k in aside.items()) // capacity, []
+    while aside and room:
+        pattern, waste = least_waste(aside, max(aside), capacity)
+        times = min([room, *(aside[n] // k for n, k in pattern.items())])
+        holed.append((pattern, times))
+        room -= times
+        for n, k in pattern.items():
+            aside[n] -= k * times
+            if not aside[n]:
+                del aside[n]
+    return filled, holed
+
+
+class Layout:
+    """Where ranks within a length, and ids of the stream of documents to be cut, are placed."""
+
+    def __init__(self, demand: dict[int, int], slack: int = SLACK, capacity: int = LENGTH):
+        used = rounded(cutting_stock(demand, capacity), demand, capacity, slack)
+        filled, holed = residual(demand, used, capacity, slack)
+        self.given, self.runs, first = dict.fromkeys(demand, 0), {n: [] for n in demand}, 0
+        regions: list[tuple[int, int, int, int, int]] = []  # stream position, slots, ids a slot, first sequence, offset
+        place = 0
+        for pattern, times in [*used, *filled, *holed]:
+            at = 0
+            for n, k in sorted(pattern.items(), reverse=True):
+                lo = self.given[n]
+                self.given[n] += k * times
+                self.runs[n].append((lo, self.given[n], k, first, at))
+                at += n * k
+            if capacity - at > slack:
+                regions.append((place, times, capacity - at, first, at))
+                place += times * (capacity - at)
+            first += times
+        self.stream, total = {}, 0
+        for n in sorted(demand, reverse=True):
+            self.stream[n] = total
+            total += (demand[n] - self.given[n]) * n
+        self.by_patterns = sum(n * k for n, k in self.given.items())
+        whole = max(0, total - place) // capacity
+        regions.append((place, whole, capacity, first, 0))
+        place, first = place + whole * capacity, first + whole
+        for bit in reversed(range(capacity.bit_length() - 1)):
+            if max(0, total - place) >> bit & 1:
+                regions.append((place, 1, 1 << bit, first, 0))
+                place, first = place + (1 << bit), first + 1
+        self.regions, self.sequences = [r for r in regions if r[1]], first
+
+
 def _ranked(rows: DataFrame, salts: int):
     """Adds ``rank`` within the remainder's length and ``full_before``, full pieces of the rows before; both gapless."""
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(salts)).cast("int"))
@@ -220,12 +336,29 @@ def _full_places(rows: DataFrame, salts: int, first: int) -> DataFrame:
     )
 
 
-def _cut_crcs(batches):
-    """Checksums of pieces of a remainder: its 16-bit ids, cut at [lo, hi), as 32-bit numbers."""
-    for b in batches:
-        crcs = [zlib.crc32(np.frombuffer(x, np.uint16)[lo:hi].astype("<u4")) for x, lo, hi in zip(b.column("rem_ids").to_pylist(), b.column("lo").to_pylist(), b.column("hi").to_pylist())]
-        cols = {n: b.column(n) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")}
-        yield pa.RecordBatch.from_pydict({"ids_crc32": pa.array(crcs, pa.int64())} | cols)
+CUT = "ids_crc32 long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
+
+
+def _cutter(regions):
+    """Pieces of remainders that lie in the stream at ``p``: their 16-bit ids, cut at the edges of slots, as 32-bit numbers."""
+    heads = np.array([r[0] for r in regions], np.int64)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, n, tokens, p, blob in zip(*(b.column(c).to_pylist() for c in ("doc_id", "rem", "doc_tokens", "p", "rem_ids"))):
+                ids, at = np.frombuffer(blob, np.uint16), 0
+                while at < n:
+                    head, _, width, first, offset = regions[int(np.searchsorted(heads, p + at, "right")) - 1]
+                    slot, within = divmod(p + at - head, width)
+                    size = min(width - within, n - at)
+                    crc = zlib.crc32(ids[at : at + size].astype("<u4"))
+                    out.append((crc, doc, tokens - n + at, size, tokens, first + slot, offset + within))
+                    at += size
+            cols = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in CUT.split(", ")])
+
+    return run
 
 
 PLACES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -238,31 +371,11 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, slack: int
     spark = docs.sparkSession
     rows = stored(tokenised(docs, path), "tokens")
     demand = {r.rem: r.n for r in rows.where("rem > 0").groupBy("rem").agg(F.count("*").alias("n")).collect()}  # 2,047 rows at most
-    used = rounded(cutting_stock(demand), demand, slack=slack)
-    # where each length's ranks go: runs [lo, hi) of ranks, k at a time in a sequence, from sequence `first` and offset `at`
-    given, runs, first = dict.fromkeys(demand, 0), {n: [] for n in demand}, 0
-    for pattern, times in used:
-        at = 0
-        for n, k in sorted(pattern.items(), reverse=True):
-            lo = given[n]
-            given[n] += k * times
-            runs[n].append((lo, given[n], k, first, at))
-            at += n * k
-        first += times
-    # the rest, end to end by length and rank; its last ids in powers of two
-    stream, total = {}, 0
-    for n in sorted(demand, reverse=True):
-        stream[n] = total
-        total += (demand[n] - given[n]) * n
-    whole = total // LENGTH
-    tail = [whole * LENGTH]
-    for bit in reversed(range(11)):
-        if (total % LENGTH) >> bit & 1:
-            tail.append(tail[-1] + (1 << bit))
-    plan = F.broadcast(spark.createDataFrame([(n, runs[n], given[n], stream[n]) for n in demand], "rem int, runs array<struct<lo:long,hi:long,k:int,first:long,at:int>>, given long, stream long"))
+    plan = Layout(demand, slack)
+    table = F.broadcast(spark.createDataFrame([(n, plan.runs[n], plan.given[n], plan.stream[n]) for n in demand], "rem int, runs array<struct<lo:long,hi:long,k:int,first:long,at:int>>, given long, stream long"))
     salts = tasks_for(rows.select("uid", "doc_id", "rem"), 4 << 20)
     slim = rows.where("rem > 0").select("uid", "doc_id", "doc_tokens", "rem", "rem_crc")
-    ranked = _ranked(slim, salts).join(plan, "rem")
+    ranked = _ranked(slim, salts).join(table, "rem")
     start = F.col("doc_tokens") - F.col("rem")
     run = F.filter("runs", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0]
     placed = ranked.where("rank < given").withColumn("run", run).withColumn("i", F.col("rank") - F.col("run.lo"))
@@ -271,19 +384,6 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, slack: int
         (F.col("run.first") + F.floor(F.col("i") / F.col("run.k"))).cast("long").alias("sequence_id"),
         (F.col("run.at") + F.pmod("i", F.col("run.k")) * F.col("rem")).cast("long").alias("offset"),
     )
-    edges = F.array(*[F.lit(x).cast("long") for x in tail])
-    seq_of = lambda p: F.when(p < whole * LENGTH, F.floor(p / LENGTH)).otherwise(F.lit(whole - 1) + F.size(F.filter(edges, lambda e: e <= p)))
-    edge = lambda s: F.when(s < whole, s * LENGTH).otherwise(F.get(edges, (s - whole).cast("int")))
-    rest = ranked.where("rank >= given").withColumn("p", F.col("stream") + (F.col("rank") - F.col("given")) * F.col("rem"))
-    rest = rest.withColumn("s", F.explode(F.sequence(seq_of(F.col("p")).cast("long"), seq_of(F.col("p") + F.col("rem") - 1).cast("long"))))
-    rest = rest.withColumn("e", edge(F.col("s")))
-    rest = rest.withColumn("lo", F.greatest(F.col("e") - F.col("p"), F.lit(0)).cast("int"))
-    rest = rest.withColumn("hi", F.least(edge(F.col("s") + 1) - F.col("p"), F.col("rem")).cast("int"))
-    rest = rest.select(
-        "uid", "doc_id", (start + F.col("lo")).cast("long").alias("start"), (F.col("hi") - F.col("lo")).cast("long").alias("length"), "doc_tokens",
-        (F.col("s") + first).cast("long").alias("sequence_id"), (F.col("p") + F.col("lo") - F.col("e")).cast("long").alias("offset"), "lo", "hi",
-    )
-    n_stream = whole + len(tail) - 1
-    cut = rest.join(rows.select("uid", "rem_ids"), "uid").drop("uid")
-    cut = cut.mapInArrow(_cut_crcs, "ids_crc32 long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long")
-    return placed.select(PLACES).union(cut.select(PLACES)).union(_full_places(rows, salts, first + n_stream).select(PLACES))
+    rest = ranked.where("rank >= given").select("uid", "doc_id", "doc_tokens", "rem", (F.col("stream") + (F.col("rank") - F.col("given")) * F.col("rem")).alias("p"))
+    cut = rest.join(rows.select("uid", "rem_ids"), "uid").drop("uid").mapInArrow(_cutter(plan.regions), CUT)
+    return placed.select(PLACES).union(cut.select(PLACES)).union(_full_places(rows, salts, plan.sequences).select(PLACES))
