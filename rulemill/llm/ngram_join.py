@@ -3,14 +3,17 @@
 Shingles are ordered by their exact document frequency (counted over all documents, see ``fingerprints``), rarest
 first, so a document's prefix is made of shingles that few others have; those that no other document has cannot join
 and are dropped at once. Documents with the same shingle set become one class. Classes that share a prefix shingle and
-whose sizes allow the similarity fall into one candidate set; candidate sets are verified in blocks of bounded size:
-length filter, positional filter on the shared prefix shingles, suffix filter on counts by hash range, then one exact
-intersection for each remaining pair. Candidate sets of any size are split into pairs of blocks, so no group meets in
-one task, and no pair is ever a row: a block yields a spanning forest of its links and each class's number of links.
+whose sizes allow the similarity meet: what is reachable so is dealt, by bands of sizes and by hash, to blocks of bounded
+size, and only blocks of the same or of neighbouring bands meet, each pair of blocks in one task. There classes are
+joined on their prefix shingles, each pair kept at its first shared one: length filter, positional filter at that
+shingle, suffix filter on counts by hash range, then one exact intersection. So no group meets in one task, no pair is
+ever a row, and a chain of texts of growing sizes isn't compared end to end: a task yields a spanning forest of its links
+and each class's number of links.
 
 Similarity is exact: ``100 * |A & B| >= percent * |A | B|`` on 64-bit shingle fingerprints. Nulls and texts without
-words have no shingles and link with nothing; fewer words than ``n`` make one shingle. A null doc_id is no node: its
-component is null. Repeated rows are copies of each other. An empty table gives no rows; other columns are ignored.
+words have no shingles and link with nothing; fewer words than ``n`` make one shingle. Very long texts are read whole.
+A null doc_id is no node: its component is null. Repeated rows and ties are copies of each other. An empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from .components import Unions, connected_components
 from .fingerprints import blocks, chunk_count, codes_of, counted, dealt, mixed, window_hashes, word_hashes
 
 BITS = 40  # of a fingerprint, for counting
-MEMBERS = 256  # classes of a block
+MEMBERS = 96  # classes of a block
+EXPAND = 1 << 21  # matches of prefix shingles held at once
 SALTS = 16  # parts of the classes that share a token and a size
 HOT = 1024  # classes whose labels are broadcast at most: those with the most copies
 
@@ -121,50 +125,69 @@ def _flat(arrays):
 class _Side:
     """Classes of one block with their prefixes and sets as flat arrays of local numbers."""
 
-    def __init__(self, rows, token_no, shingle_no):
+    def __init__(self, rows, shingle_no):
         self.node = [r[0] for r in rows]
         self.n = np.array([r[1] for r in rows], np.int64)
         self.weight = np.array([r[5] for r in rows], np.int64)
-        self.tokens, self.t_at, _ = _flat([np.searchsorted(token_no, r[2]) for r in rows])
-        self.rest = np.repeat(self.n, [len(r[2]) for r in rows]) - 1 - np.concatenate([r[3] for r in rows])
+        self.tokens, self.t_at, sizes = _flat([r[2] for r in rows])
+        self.owner = np.repeat(np.arange(len(rows)), sizes)
+        self.rest = self.n[self.owner] - 1 - np.concatenate([r[3] for r in rows])
+        self.order = np.argsort(self.tokens, kind="stable")
+        self.sorted = self.tokens[self.order]
         self.set, self.s_at, self.s_n = _flat([np.searchsorted(shingle_no, r[4]) for r in rows])
         self.hist = np.stack([np.bincount((r[4] >> np.uint64(59)).astype(np.int64), minlength=32) for r in rows])
 
 
+def prefix_pairs(a: _Side, b: _Side, percent: int):
+    """Joins two blocks on prefix shingles: (i, j) that pass the length and the positional filter, each once. With ``a`` and
+    ``b`` the same block, i < j."""
+    lo = np.searchsorted(b.sorted, a.tokens, "left")
+    count = np.searchsorted(b.sorted, a.tokens, "right") - lo
+    ends = np.cumsum(count)
+    edges = [*np.searchsorted(ends, np.arange(EXPAND, int(ends[-1]) + EXPAND, EXPAND)).tolist()]
+    at = 0
+    for edge in [a.owner[min(e, len(a.owner) - 1)] for e in edges]:  # whole classes at a time
+        stop = int(np.searchsorted(a.owner, edge, "right"))
+        if stop <= at:
+            continue
+        k = count[at:stop]
+        which = np.repeat(np.arange(at, stop), k)
+        into = b.order[np.arange(len(which)) + np.repeat(lo[at:stop] - np.cumsum(k) + k, k)]
+        at = stop
+        i, j = a.owner[which], b.owner[into]
+        # rows come by the place in a's prefix, so the first of a pair is at its first shared shingle
+        _, first = np.unique(i * len(b.n) + j, return_index=True)
+        i, j, bound = i[first], j[first], 1 + np.minimum(a.rest[which[first]], b.rest[into[first]])
+        need = -(-percent * (a.n[i] + b.n[j]) // (100 + percent))
+        ok = (100 * np.minimum(a.n[i], b.n[j]) >= percent * np.maximum(a.n[i], b.n[j])) & (bound >= need)
+        if a is b:
+            ok &= i < j
+        yield i[ok], j[ok], need[ok]
+
+
 def links_between(left, right, percent: int):
     """Exact links of two blocks (or within one, where ``right`` is None): (i, j) arrays. Rows: node, n, tokens, places, set, weight."""
     rows = left if right is None else left + right
-    token_no, shingle_no = np.unique(np.concatenate([r[2] for r in rows])), np.unique(np.concatenate([r[4] for r in rows]))
-    a = _Side(left, token_no, shingle_no)
-    b = a if right is None else _Side(right, token_no, shingle_no)
-    seen, member = np.full(len(token_no), -1, np.int64), np.zeros(len(shingle_no), bool)
-    for i in range(len(left)):
-        first = i + 1 if right is None else 0
-        if first >= len(b.n):
-            break
-        lo, hi = a.t_at[i], a.t_at[i] + len(left[i][2])
-        seen[a.tokens[lo:hi]] = a.rest[lo:hi]
-        bound = np.minimum(seen[b.tokens[b.t_at[first] :]], b.rest[b.t_at[first] :])  # -1 where the token isn't shared
-        bound = 1 + np.maximum.reduceat(bound, b.t_at[first:] - b.t_at[first])  # positional filter, at the first shared token
-        seen[a.tokens[lo:hi]] = -1
-        total = a.n[i] + b.n[first:]
-        need = -(-percent * total // (100 + percent))
-        ok = (bound >= need) & (100 * np.minimum(a.n[i], b.n[first:]) >= percent * np.maximum(a.n[i], b.n[first:]))
-        js = np.flatnonzero(ok) + first
-        if len(js):  # suffix filter: what is shared in each range of hashes is at most the smaller count
-            js = js[np.minimum(a.hist[i], b.hist[js]).sum(axis=1) >= need[js - first]]
-        if not len(js):
-            continue
-        own = a.set[a.s_at[i] : a.s_at[i] + a.s_n[i]]
-        member[own] = True
-        sizes = b.s_n[js]
-        ends = np.cumsum(sizes)
-        where = np.arange(int(ends[-1])) + np.repeat(b.s_at[js] - ends + sizes, sizes)
-        shared = np.add.reduceat(member[b.set[where]].astype(np.int64), ends - sizes)
-        member[own] = False
-        js = js[100 * shared >= percent * (a.n[i] + b.n[js] - shared)]
-        if len(js):
-            yield a, b, i, js
+    shingle_no = np.unique(np.concatenate([r[4] for r in rows]))
+    a = _Side(left, shingle_no)
+    b = a if right is None else _Side(right, shingle_no)
+    member = np.zeros(len(shingle_no), bool)
+    for i, j, need in prefix_pairs(a, b, percent):
+        # suffix filter: what is shared in each range of hashes is at most the smaller count
+        ok = np.minimum(a.hist[i], b.hist[j]).sum(axis=1) >= need
+        i, j = i[ok], j[ok]
+        edge = np.flatnonzero(np.diff(i, prepend=-1))
+        for k, js in zip(i[edge].tolist(), np.split(j, edge[1:])):
+            own = a.set[a.s_at[k] : a.s_at[k] + a.s_n[k]]
+            member[own] = True
+            sizes = b.s_n[js]
+            ends = np.cumsum(sizes)
+            where = np.arange(int(ends[-1])) + np.repeat(b.s_at[js] - ends + sizes, sizes)
+            shared = np.add.reduceat(member[b.set[where]].astype(np.int64), ends - sizes)
+            member[own] = False
+            js = js[100 * shared >= percent * (a.n[k] + b.n[js] - shared)]
+            if len(js):
+                yield a, b, k, js
 
 
 def _verifier(percent: int):
@@ -172,16 +195,17 @@ def _verifier(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         tasks: dict = {}
-        cols = [group.column(c).to_pylist() for c in ("root", "i", "j", "block", "node", "n_shingles", "tokens", "places", "shingles", "copies")]
-        for root, i, j, block, node, n, tokens, places, shingles, copies in zip(*cols):
+        cols = [group.column(c).to_pylist() for c in ("task", "side", "node", "n_shingles", "tokens", "places", "shingles", "copies")]
+        for task, side, node, n, tokens, places, shingles, copies in zip(*cols):
             row = (node, n, np.array(tokens, np.int64).view(np.uint64), np.array(places, np.int64), np.frombuffer(shingles, np.uint64), copies)
-            tasks.setdefault((root, i, j), ([], []))[block != i].append(row)
+            tasks.setdefault((task["root"], *task["i"].values(), *task["j"].values()), ([], []))[side].append(row)
         out = []
-        for (_, i, j), (left, right) in tasks.items():
-            if (i != j and not (left and right)) or (i == j and len(left) < 2):
+        for (_, *blocks_met), (left, right) in tasks.items():
+            within = blocks_met[:2] == blocks_met[2:]
+            if len(left) < 2 if within else not (left and right):
                 continue
             u, degree = Unions(), {}
-            for a, b, k, js in links_between(left, right if i != j else None, percent):
+            for a, b, k, js in links_between(left, None if within else right, percent):
                 x = a.node[k]
                 degree[x] = degree.get(x, 0) + int(b.weight[js].sum())
                 for y in js.tolist():
@@ -195,6 +219,30 @@ def _verifier(percent: int):
     return run
 
 
+def size_band(n, percent: int):
+    """Sizes that may link lie in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / min(percent, 99))) + F.lit(1e-9)).cast("int")
+
+
+def block_tasks(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (root, node, n) -> (task {root, i, j}, side, node): which pairs of blocks a class takes part in. A block is
+    a band of sizes and a part by hash; it meets the blocks of its own band and of the next one."""
+    members = members.withColumn("band", size_band(F.col("n"), percent))
+    parts = members.groupBy("root", "band").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("parts"))
+    beside = parts.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
+    below = parts.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
+    sizes = parts.join(beside, ["root", "band"], "left").join(below, ["root", "band"], "left").na.fill(0, ["above", "below"])
+    m = members.join(sizes, ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    block = lambda band, part: F.struct(band.alias("band"), part.alias("part"))
+    one = lambda i, j, side: F.struct(F.struct(F.col("root"), i.alias("i"), j.alias("j")).alias("task"), F.lit(side).alias("side"))
+    own = block(F.col("band"), F.col("part"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    within = F.transform(upto(F.col("parts")), lambda o: F.when(o >= F.col("part"), one(own, block(F.col("band"), o), 0)).otherwise(one(block(F.col("band"), o), own, 1)))
+    up = F.transform(upto(F.col("above")), lambda o: one(own, block(F.col("band") + 1, o), 0))
+    down = F.transform(upto(F.col("below")), lambda o: one(block(F.col("band") - 1, o), own, 1))
+    return m.select("node", F.explode(F.concat(within, up, down)).alias("t")).select("t.task", "t.side", "node")
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable by links) and n_links."""
     made = stored(ngram_features(docs, n, percent), "ngrams")
@@ -212,13 +260,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     w = Window.partitionBy("token").orderBy("n")
     chain = lead.select("n", F.col("lead").alias("a"), F.lag("lead").over(w).alias("b"), F.lag("n").over(w).alias("m")).where(F.lit(100) * F.col("m") >= F.lit(percent) * F.col("n"))
     sets = connected_components(same.union(chain.select("a", "b")).distinct())
-    members = stored(sets.union(sets.select(F.col("root").alias("node"), "root").distinct()), "sets")
-    parts = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    tasks = members.join(parts, "root").withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = tasks.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o"))
+    members = sets.union(sets.select(F.col("root").alias("node"), "root").distinct())
+    members = stored(members.join(reps.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n")), "node"), "sets")
     buckets = tasks_for(made, 8 << 20)
-    tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("root", "i", "j"), F.lit(buckets)).cast("int")).drop("o", "parts")
+    tasks = block_tasks(members, percent).withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets)).cast("int"))
     tasks = tasks.join(reps.withColumnRenamed("rep", "node"), "node")
     verified = stored(tasks.groupBy("bucket").applyInArrow(_verifier(percent), "a long, b long, links long"), "links")
     joined = connected_components(verified.where("b is not null").select("a", "b"))
@@ -229,8 +274,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     hot = labels.where("copies > 1").orderBy(F.desc("copies"), "sig").limit(HOT).select("sig", "component", "n_links").collect()
     hot = F.broadcast(made.sparkSession.createDataFrame(hot, "sig binary, component long, n_links long"))
     rows = made.select("doc_id", "n_shingles", "sig")
-    rest = rows.join(hot, "sig", "left_anti").join(labels.drop("copies"), "sig", "left")
-    return rows.join(hot, "sig").unionByName(rest).select(
+    some = rows.where("sig is not null")  # documents without shingles have nothing to meet
+    rest = some.join(hot, "sig", "left_anti").join(labels.drop("copies"), "sig", "left")
+    none = rows.where("sig is null").select("*", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    return some.join(hot, "sig").unionByName(rest).unionByName(none).select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id")).cast("long").alias("component_id"),
         F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),

@@ -43,6 +43,9 @@ def corpus():
             texts.append(" ".join(v).upper() if rnd.random() < 0.2 else " ".join(v))
     passage = [word() for _ in range(30)]
     texts += [" ".join([word() for _ in range(200)] + passage) for _ in range(15)]
+    # boilerplate chains: texts of growing sizes made of one passage, each like the next and unlike the last
+    long = [f"b{i}" for i in range(160)]
+    texts += [" ".join(long[:k]) for k in range(30, 160, 3)] + [" ".join(long[k : k + 60]) for k in range(0, 60, 4)]
     return texts
 
 
@@ -59,6 +62,39 @@ def test_join(spark, monkeypatch):
         assert got == want, [(k, want[k], got[k]) for k in want if want[k] != got[k]][:5]
 
 
+def test_prefix_pairs_lose_no_link(monkeypatch):
+    """Blocks of any size, and matches expanded a few at a time, find the links of plain comparison."""
+    import numpy as np
+
+    from rulemill.llm import ngram_join as m
+
+    rnd = random.Random(4)
+    sets = [sorted(rnd.sample(range(60), rnd.randint(3, 40))) for _ in range(80)]
+    sets += [sorted(set(s) - set(rnd.sample(s, rnd.choice([0, 1, 1, 2])))) for s in sets]
+    count = {x: sum(x in s for s in sets) for x in range(60)}
+    rows = []
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda x: (count[x], x))[: m.prefix_length(len(s), 80)]
+        rows.append((i, len(s), np.array(order, np.uint64), np.arange(len(order)), np.array(s, np.uint64) << np.uint64(57), 1))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+    assert len(want) > 60
+    for expand in (7, 1 << 20):
+        monkeypatch.setattr(m, "EXPAND", expand)
+        assert {(a.node[k], b.node[j]) for a, b, k, js in m.links_between(rows, None, 80) for j in js.tolist()} == want
+        half = [(a.node[k], b.node[j]) for a, b, k, js in m.links_between(rows[:90], rows[90:], 80) for j in js.tolist()]
+        assert len(half) == len(set(half)) and set(half) == {(i, j) for i, j in want if i < 90 <= j}
+
+
+def test_size_bands(spark):
+    from pyspark.sql import functions as F
+
+    from rulemill.llm.ngram_join import size_band
+
+    for percent in (80, 90, 100):
+        band = [r[0] for r in spark.range(1, 3000).select(size_band(F.col("id"), percent)).collect()]
+        assert all(band[m - 1] - band[n - 1] <= 1 for n in range(1, 2000) for m in [min(2999, n * 100 // percent)])
+
+
 def test_join_edges(spark):
     from rulemill.llm.ngram_join import ngram_join
 
