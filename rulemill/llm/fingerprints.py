@@ -20,9 +20,10 @@ from .common import input_bytes, released, small_batches, tasks_for
 
 BLOCK = 1 << 20  # bytes of text hashed at once, a longer text alone
 _rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F | 1)
+#: Two families of fingerprints that have nothing in common: the second checks what the first finds equal.
+_BYTE = [_rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False) for _ in range(2)]
+_BASE = [np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xA0761D6478BD642F | 1)]
+_WORD_BASE = [np.uint64(0xC2B2AE3D27D4EB4F | 1), np.uint64(0xE7037ED1A0B428DB | 1)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -50,7 +51,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_byte_powers, _word_powers = _Powers(_BASE), _Powers(_WORD_BASE)
+_byte_powers, _word_powers = [_Powers(b) for b in _BASE], [_Powers(b) for b in _WORD_BASE]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -61,7 +62,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the words of all texts, one after the other, and the number of words of each text."""
     joined = b"\n".join(texts)
     raw = np.frombuffer(joined, np.uint8)
@@ -72,20 +73,20 @@ def word_hashes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray
     gap = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
     begin, end = edge[::2], edge[1::2]
-    up, down = _byte_powers(len(raw))
+    up, down = _byte_powers[family](len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up, out=sums[1:])
+    np.cumsum(_BYTE[family][raw] * up, out=sums[1:])
     words = mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     return words, np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
-def window_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, counts: np.ndarray, n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all windows of n words that lie within one text, and the number of windows of each text."""
     sizes = np.maximum(counts - n + 1, 0)
     if not sizes.any():
         return np.zeros(0, np.uint64), sizes
-    up, down = _word_powers(len(words))
+    up, down = _word_powers[family](len(words))
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up, out=sums[1:])
     at = np.arange(int(sizes.sum())) + np.repeat(np.cumsum(counts) - counts - (np.cumsum(sizes) - sizes), sizes)
@@ -116,12 +117,12 @@ def dealt(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
 
 
-def _planes(a: np.ndarray) -> bytes:
+def planes(a: np.ndarray) -> bytes:
     """Bytes by significance: the upper ones are mostly zero and compress away."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
 
 
-def _from_planes(b: bytes, kind) -> np.ndarray:
+def from_planes(b: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
@@ -140,7 +141,7 @@ def sender(fingerprints: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
         at = np.searchsorted(keys, cuts(ranges, bits))
         for r, (a, b) in enumerate(zip(at, [*at[1:], len(keys)])):
             if b > a:
-                out.append((r, chunk, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(np.minimum(counts[a:b], 65535).astype(np.uint16))))
+                out.append((r, chunk, planes(np.diff(keys[a:b], prepend=np.uint64(0))), planes(np.minimum(counts[a:b], 65535).astype(np.uint16))))
         cols = list(zip(*out)) or [[]] * 4
         del keys, counts
         released()
@@ -157,8 +158,8 @@ def counter(code: Callable[[np.ndarray], np.ndarray]):
     """For one range of values: counts over all chunks, answered as one byte for each fingerprint sent."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_from_planes(b, np.uint64)) for b in group.column("keys").to_pylist()]
-        counts = [_from_planes(b, np.uint16).astype(np.int64) for b in group.column("counts").to_pylist()]
+        keys = [np.cumsum(from_planes(b, np.uint64)) for b in group.column("keys").to_pylist()]
+        counts = [from_planes(b, np.uint16).astype(np.int64) for b in group.column("counts").to_pylist()]
         sizes = np.cumsum([len(k) for k in keys])
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")

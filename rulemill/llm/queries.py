@@ -32,7 +32,7 @@ def op4_personal_data(spark, sf_dir):
 def op5_substring_dedup(spark, sf_dir):
     from .substring import substring_dedup
 
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans", "factors")
 
 
 def op6_byte_bpe(spark, sf_dir):
