@@ -1,10 +1,13 @@
 """Personal data: high-recall generators, boosted trees over format and context, calibrated thresholds. DataFrame functions only.
 
 Base spans (e-mail, ip, card, phone) come from fixed rules and always stay. Generators propose more candidates of the
-same kinds; the trees score them and those over the kind's threshold that touch no base span are added.
+same kinds, of any length; the trees score them, those over the kind's threshold that touch no base span are taken
+generator by generator, in the order of ``PROPOSED``, if they touch none taken before. Spans of one pattern are sorted
+and apart, so every test for overlap is a binary search and a long log is no slower per line than a short one.
 
-Nulls: a null text counts as empty and has no spans. Overlaps between kinds are kept for the base spans; repeated rows
-are judged each; an empty table gives no rows; other columns are ignored. Spans are code points, end exclusive.
+Nulls: a null text counts as empty and has no spans. Overlaps between kinds are kept for the base spans; ties go to the
+kind listed first. Repeated rows are judged each; very long texts are read whole; an empty table gives no rows; other
+columns are kept, but for ``base`` and ``added``. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .pii_model import CONTEXT, DATE, FEATURES, KINDS, MARK, RATE, model
+from .pii_model import CONTEXT, DATE, DOMAIN, FEATURES, KINDS, LAYOUT, MARK, RATE, TRUNK, model
 
 #: Base patterns, written so that no long run is scanned twice (possessive; a match starts at the run's start or right
 #: after the match before).
@@ -26,13 +29,21 @@ BASE = {
 }
 #: Cheap tests before the patterns.
 NEEDS = {"email": "@", "phone": "+"}
+OTHER = r"\s@<>,;:()\""
 PROPOSED = [
-    ("email", r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}){1,6}"),
-    ("email", r"(?<![^\s<>,;:()\"])[^\s@<>,;:()\"]{1,64}@[^\s@<>,;:()\"]{1,100}"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ .-]{0,2}[0-9]){12,18}(?![0-9A-Za-z])"),
-    ("phone", r"(?<![0-9A-Za-z+.])\(?[0-9][0-9 ().\/-]{5,20}[0-9](?![0-9A-Za-z])"),
+    ("email", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++ ?(?:\(at\)|\[at\]|\{{at\}}) ?[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{{dot\}}) ?)[A-Za-z0-9-]++)*+"),
+    ("email", rf"(?<![^\s<>,;:()\"])[^{OTHER}]++@[^{OTHER}]*[^{OTHER}.!?']"),
+    ("ip", r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]++(?<=[0-9A-Fa-f])(?![0-9A-Za-z])"),
+    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ .-]{0,2}[0-9])++(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+.])\(?[0-9](?:[ ().\/-]{0,3}[0-9])++(?![0-9A-Za-z])"),
 ]
+LEAST_DIGITS = {"card": 13, "phone": 7}  # fewer are no candidate
+CHUNK = 1024  # code points that a part of a text is cut from
+
+
+def once(value, use):
+    """``use(value)`` with the value computed once, however often ``use`` reads it within its lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def running(sizes):
@@ -41,11 +52,9 @@ def running(sizes):
     b = F.greatest(F.lit(1), F.floor(F.sqrt(n)).cast("int"))
     add = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / b).cast("int")), lambda k: add(F.slice(sizes, k * b + 1, b)))
-    heads = F.transform(blocks, lambda _, k: F.when(k == 0, 0).otherwise(add(F.slice(blocks, F.lit(1), k))))
-    return F.transform(
-        sizes,
-        lambda _, i: F.get(heads, F.floor(i / b).cast("int")) + F.when(i % b == 0, 0).otherwise(add(F.slice(sizes, i - i % b + 1, i % b))),
-    )
+    heads = lambda sums: F.transform(sums, lambda _, k: F.when(k == 0, 0).otherwise(add(F.slice(sums, F.lit(1), k))))
+    within = lambda i: F.when(i % b == 0, 0).otherwise(add(F.slice(sizes, i - i % b + 1, i % b)))
+    return once(blocks, lambda sums: once(heads(sums), lambda head: F.transform(sizes, lambda _, i: F.get(head, F.floor(i / b).cast("int")) + within(i))))
 
 
 def _digits(m):
@@ -106,6 +115,7 @@ def feature_columns(m, c):
         F.length(digits),
         F.length(m),
         F.size(F.filter(F.split(m, "[^0-9]+"), lambda x: x != "")),
+        F.coalesce(F.array_max(F.transform(F.split(m, "[^0-9]+"), lambda x: F.length(x))), F.lit(0)),
         count(" ./-"),
         count("."),
         count(":"),
@@ -113,29 +123,36 @@ def feature_columns(m, c):
         count("()"),
         F.regexp_count(m, F.lit(MARK)),
         _luhn(digits).cast("int"),
-        m.rlike(DATE).cast("int"),
+        *(m.rlike(p).cast("int") for p in (DATE, LAYOUT, TRUNK, DOMAIN)),
         *(c.rlike(p).cast("int") for p in CONTEXT.values()),
     ]
 
 
-def _tree(tree, cols):
+def _tree(tree) -> str:
     if not isinstance(tree, tuple):
-        return F.lit(float(tree))
+        return f"{tree!r}D"
     f, cut, low, high = tree
-    return F.when(cols[f] <= F.lit(cut), _tree(low, cols)).otherwise(_tree(high, cols))
+    return f"IF(x.{FEATURES[f]} <= {cut!r}D, {_tree(low)}, {_tree(high)})"
 
 
-def _score(kind, x):
+def _score(kind: str) -> str:
+    """The trees' sum above the kind's threshold, for a candidate ``x``, as SQL."""
     trees, cut = model(kind)
-    cols = [x[f] for f in FEATURES]
-    total = F.lit(0.0)
-    for t in trees:
-        total = total + F.lit(RATE) * _tree(t, cols)
-    return total - F.lit(cut)
+    return f"{RATE!r}D * ({' + '.join(map(_tree, trees))}) - {cut!r}D"
 
 
-def _overlap(a, b):
-    return (a["s"] < b["e"]) & (b["s"] < a["e"])
+def _end(spans: str, bound: str) -> str:
+    """SQL for the end of the last of the sorted, disjoint ``spans`` that starts before ``bound``, by binary search; 0 if none does."""
+    mid = "CAST((at_.lo + at_.hi) DIV 2 AS INT)"
+    low, high = f"named_struct('lo', {mid} + 1, 'hi', at_.hi)", f"named_struct('lo', at_.lo, 'hi', {mid})"
+    step = f"(at_, step_) -> IF(at_.lo < at_.hi, IF(get({spans}, {mid}).s < {bound}, {low}, {high}), at_)"
+    found = f"aggregate(sequence(1, length(bin(size({spans})))), named_struct('lo', 0, 'hi', size({spans})), {step}, at_ -> get({spans}, at_.lo - 1).e)"
+    return f"IF(size({spans}) = 0, 0, coalesce({found}, 0))"
+
+
+def _free(tracks) -> str:
+    """SQL: whether the span ``x`` overlaps none of the sorted, disjoint spans of each track."""
+    return " AND ".join([f"{_end(t, 'x.e')} <= x.s" for t in tracks] or ["true"])
 
 
 def _place(x):
@@ -146,39 +163,41 @@ def _kept(kind):
     return F.filter(f"_{kind}", lambda x: _valid(kind, x["m"]))
 
 
-def _rich(name):
-    free = F.filter(name, lambda x: ~F.exists("base", lambda b: _overlap(x, b)))
+def _rich(name, kind):
+    enough = lambda x: F.length(_digits(x["m"])) >= LEAST_DIGITS.get(kind, 0)
     values = lambda x: [v.cast("double").alias(n) for n, v in zip(FEATURES, feature_columns(x["m"], x["c"]))]
-    return F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), *values(x)))
+    return F.transform(F.filter(name, enough), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), *values(x)))
 
 
-def _chosen(name, kind):
-    scored = F.transform(name, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), _score(kind, x).alias("v")))
-    return F.filter(scored, lambda x: x["v"] >= 0)
+def _chosen(name, kind, taken):
+    good = f"filter({name}, x -> {_score(kind)} >= 0)"
+    return F.expr(f"transform(filter({good}, x -> {_free(taken)}), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))")
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``base`` and ``added``: arrays of spans {s, e, k}, sorted by place; k indexes KINDS."""
-    d = docs.withColumn("_t", text_or_empty())
+def _found(docs: DataFrame) -> DataFrame:
+    """row, _t, base, added and the base spans of each kind (_email and so on)."""
+    d = docs.select(F.struct(*docs.columns).alias("row"), text_or_empty().alias("_t"))
     digit = F.col("_t").rlike("[0-9]")
     for kind, pattern in BASE.items():
         needs = F.contains("_t", F.lit(NEEDS[kind])) if kind in NEEDS else digit
         d = located(d, f"_{kind}", kind, pattern, needs, context=False)
-    d = d.withColumn("base", F.array_sort(F.concat(*[F.transform(_kept(k), _place) for k in BASE])))
-    d = d.drop(*[f"_{k}" for k in BASE])
+        d = d.withColumn(f"_{kind}", F.transform(_kept(kind), _place))
+    d = d.withColumn("base", F.array_sort(F.concat(*[f"_{k}" for k in BASE])))
     marked = F.contains("_t", F.lit("@")) | F.col("_t").rlike(r"[(\[{]at[)\]}]")
-    found = []
+    tracks, taken = [f"_{k}" for k in BASE], []
     for i, (kind, pattern) in enumerate(PROPOSED):
         needs = marked if kind == "email" else F.contains("_t", F.lit(":")) & digit if kind == "ip" else digit
         d = located(d, f"_p{i}", kind, pattern, needs, context=True)
-        d = d.withColumn(f"_p{i}", _rich(f"_p{i}"))
-        d = d.withColumn(f"_p{i}", _chosen(f"_p{i}", kind))
-        found.append(f"_p{i}")
-    d = d.withColumn("_all", F.array_distinct(F.concat(*found)))
-    better = lambda a, b: (a["v"] > b["v"]) | ((a["v"] == b["v"]) & ((a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"])) | ((a["s"] == b["s"]) & (a["k"] == b["k"]) & (a["e"] > b["e"]))))
-    won = F.filter("_all", lambda x: ~F.exists("_all", lambda y: _overlap(x, y) & better(y, x)))
-    added = F.array_sort(F.transform(won, _place))
-    return d.withColumn("added", added).drop("_t", "_all", *found)
+        d = d.withColumn(f"_p{i}", F.expr(f"filter(_p{i}, x -> {_free(tracks)})"))
+        d = d.withColumn(f"_p{i}", _rich(f"_p{i}", kind))
+        d = d.withColumn(f"_p{i}", _chosen(f"_p{i}", kind, taken))
+        taken.append(f"_p{i}")
+    return d.withColumn("added", F.array_sort(F.concat(*taken))).drop(*taken)
+
+
+def personal_data(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, ``base`` and ``added``: arrays of spans {s, k, e}, sorted by place; k indexes KINDS."""
+    return _found(docs).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "added")], "base", "added")
 
 
 def _joined(spans):
@@ -200,16 +219,21 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one mark."""
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans become one mark, of the first."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    d = personal_data(docs.select(F.struct(*docs.columns).alias("row"), "text")).withColumn("_all", F.array_sort(F.concat("base", "added")))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        fresh = x["s"] >= acc["p"]
-        more = F.concat(acc["out"], F.array(F.substring("text", acc["p"] + 1, x["s"] - acc["p"]), F.get(names, x["k"])))
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("_all", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["p"] + 1, F.length("text"))))
-    text = F.when(F.size("_all") > 0, done).otherwise(F.col("text")).alias("text")
+    tracks = [*(f"_{k}" for k in BASE), "added"]  # each sorted, its spans apart
+    d = _found(docs).withColumn("_all", F.array_sort(F.concat("base", "added")))
+    before = lambda bound: f"greatest({', '.join(_end(t, bound) for t in tracks)})"
+    d = d.withColumn("_first", F.expr(f"filter(_all, (x, i) -> {before('x.s')} <= x.s AND NOT (i > 0 AND get(_all, i - 1).s = x.s))"))
+    d = d.withColumn("_marks", F.expr(f"transform(_first, (x, i) -> named_struct('s', x.s, 'k', x.k, 'e', {before('coalesce(get(_first, i + 1).s, 2147483647)')}))"))
+    d = d.withColumn("_chunks", F.when(F.size("_marks") > 0, F.regexp_extract_all("_t", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def part(a, b):
+        lo, hi = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+        return F.when(b <= a, "").otherwise(F.substring(F.array_join(F.slice("_chunks", lo + 1, hi - lo + 1), ""), (a % CHUNK + 1).cast("int"), (b - a).cast("int")))
+
+    piece = lambda x, i: F.concat(part(F.coalesce(F.get("_marks", i - 1)["e"], F.lit(0)), x["s"]), F.get(names, x["k"]))
+    rest = part(F.element_at("_marks", -1)["e"], F.length("_t"))
+    done = F.concat(F.array_join(F.transform("_marks", piece), ""), rest)
+    text = F.when(F.size("_marks") > 0, done).otherwise(F.col("row")["text"]).alias("text")
     return d.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -60,6 +60,97 @@ def test_pii(spark):
     assert pii_spans(docs(spark, [])).count() == 0
 
 
+def brute_added(t):
+    """Candidates one by one: generators, features, trees and thresholds in plain Python, without the columns."""
+    import regex
+
+    from rulemill.llm.pii import LEAST_DIGITS, PROPOSED
+    from rulemill.llm.pii_model import features, model, score
+
+    taken = [(s, e) for s, _, e in brute(t)]
+    out = []
+    for kind, pattern in PROPOSED:
+        trees, cut = model(kind)
+        last, now = 0, []
+        for m in regex.finditer(pattern, t):
+            s, e, context = m.start(), m.end(), t[last : m.start()][-24:]
+            last = e
+            if sum(c in "0123456789" for c in m[0]) < LEAST_DIGITS.get(kind, 0) or any(s < b and a < e for a, b in taken):
+                continue
+            if score(trees, features(context, m[0])) >= cut:
+                now.append((s, KINDS.index(kind), e))
+        taken += [(s, e) for s, _, e in now]
+        out += now
+    return sorted(out)
+
+
+def test_added_spans_equal_brute_force(spark):
+    import random
+
+    from rulemill.llm.pii import personal_data, redacted
+    from rulemill.llm.pii_model import KINDS as kinds
+    from rulemill.llm.pii_model import examples
+
+    rnd = random.Random(6)
+    made = [(c, m) for k in kinds for part, c, m, _ in examples(k) if part == 2]
+    texts = ["".join(f"{c}{m}{rnd.choice([' and ', ', ', chr(10), '. é '])}" for c, m in rnd.sample(made, 12)) for _ in range(60)]
+    texts += ["hotel 604 555 8016", "604 555 8016", "order 604 555 8016", "call 604 555 8016 now", "a" * 70 + "ü@" + "b" * 90 + ".org, x", "x (at) y" + ".z" * 40, "12 " * 400, *TEXTS]
+    d = docs(spark, texts)
+    got = {r.doc_id: r for r in personal_data(d).collect()}
+    red = {r.doc_id: r.text for r in redacted(d).collect()}
+    n = 0
+    for i, t in enumerate(texts):
+        want = brute_added(t)
+        assert [(x.s, x.k, x.e) for x in got[i].added] == want, (t[:200], want, got[i].added)
+        n += len(want)
+        out, at = "", 0
+        for s, k, e in sorted(brute(t) + want):
+            out += t[at:s] + f"[{KINDS[k].upper()}]" if s >= at else ""
+            at = max(at, e)
+        assert red[i] == out + t[at:]
+    assert n > 200 and got[60].added and got[61].added and not got[62].added and got[63].added
+    assert [(x.s, x.e) for x in got[64].added] == [(0, len(texts[64]) - 3)]
+
+
+def test_held_out_candidates():
+    """Precision and recall on the part of the labelled candidates that neither trees nor thresholds have seen."""
+    from rulemill.llm.pii_model import examples, features, model, score
+
+    for kind in KINDS:
+        trees, cut = model(kind)
+        rows = [(score(trees, features(c, m)) >= cut, y) for part, c, m, y in examples(kind) if part == 2]
+        right = sum(a and y for a, y in rows)
+        assert right >= 0.97 * sum(a for a, _ in rows) and right >= 0.9 * sum(y for _, y in rows), kind
+
+
+def test_long_log(spark):
+    """Thousands of addresses and numbers in one line, and the same in lines."""
+    import time
+
+    from rulemill.llm.pii import pii_spans, redacted
+
+    line = "10.1.{0}.7 user{0}@mail.example.org call 604-555-{1:04d} at 2024-01-05 12:30:45 id {0}4111 1111 1111 1111 "
+    log = "".join(line.format(i % 250, i % 10000) for i in range(3000))
+    began = time.perf_counter()
+    rows = pii_spans(docs(spark, [log, log.replace("call", "\ncall")])).collect()
+    assert all(r.n_email == 3000 and r.n_ip == 3000 and r.n_added >= 3000 for r in rows) and len(log) > 300_000
+    text = redacted(docs(spark, [log])).collect()[0].text
+    assert text.count("[EMAIL]") == 3000 and text.startswith("[IP] [EMAIL] call [PHONE] at 2024-01-05 12:30:45 id ")
+    assert time.perf_counter() - began < 150
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from rulemill.llm.pii import personal_data, redacted
+
+    names = ["_t", "_all", "_email", "row", "_p0", "_m", "_chunks"]
+    d = docs(spark, ["me@x.org", None]).withColumns({n: F.lit(n) for n in [*names, "base", "added"]})
+    for r in personal_data(d).collect():
+        assert all(r[n] == n for n in names) and len(r.base) == (r.doc_id == 0) and r.added == []
+    assert [(r.text, r.base) for r in redacted(d).orderBy("doc_id").collect()] == [("[EMAIL]", "base"), (None, "base")]
+
+
 def test_native_plan(spark):
     from rulemill.llm.pii import pii_spans
 
