@@ -1,13 +1,16 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups (equal texts), law ``bytes``.
 
-Groups above an even share of what is left have a shard of their own. Others above 1/``FINE`` of an even shard of the
-rest, a bounded number, are packed one by one. Smaller groups are first
-hashed onto a fixed number of pallets; a pallet is packed like a group, so no group is ever split and the driver sees
-a bounded number of items at any input size. Best fit finds the tightest bin through a balanced (AVL) tree; the least
-capacity that needs no more than the wanted shards is found by bisection. Dealing to the least loaded bin replaces it
-where that gives nearer sizes.
-
-Nulls: a null text has no bytes and belongs with empty texts. Empty tables give no rows. Repeated rows count each.
+Groups of one size are interchangeable, so the driver packs sizes with their numbers of groups, not groups. Sizes keep
+12 significant bits, rounded up, so there are some 60,000 of them at most at any size of the input, and a bin holds at most
+1/2,048 less than it is counted. By falling size, groups enter the tightest bin that has room, found through a balanced
+(AVL) tree; the least capacity that needs no more than the wanted shards is found by bisection. Groups above an even
+share of what is left have a shard of their own. Dealing to the least loaded bin replaces best fit where that gives
+nearer loads. A group takes its shard by its rank among the groups of its size; ranks are counted in cells of
+(size, salt), and groups with many rows meet their rows by a broadcast of bounded size.
+
+Nulls: a null text has no bytes and belongs with empty texts; a null doc_id is kept. Very long texts are groups like
+others. Ties in size go by hash. Repeated rows count each; empty tables give no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, tasks_for, text_or_empty
 
-FINE = 64  # groups over 1/FINE of an even shard are packed one by one: shards * FINE of them at most
-PALLETS_PER_SHARD = 128
+BITS = 12  # significant bits of a group's size
+HOT = 1024  # groups broadcast at most: those with over 1/HOT of the rows
 
 
 class _Node:
@@ -170,24 +173,107 @@ def even_bins(items: list[tuple[int, object]], bins: int) -> dict:
 
 def _least_capacity(items: list[tuple[int, object]], bins: int) -> dict:
     total, largest = sum(x[0] for x in items), max((x[0] for x in items), default=1)
+    return least_capacity(total, largest, bins, lambda capacity: best_fit_decreasing(items, capacity, bins))
+
+
+def least_capacity(total: int, largest: int, bins: int, pack):
+    """What ``pack`` gives for the least capacity, to 1/20000 of an even share, that it can do with."""
     low = max(largest, -(-total // bins), 1)
     step = max(1, low // 20_000)
     high = low
-    found = best_fit_decreasing(items, high, bins)
-    grow = step
+    found, grow = pack(high), step
     while found is None:
         low, high, grow = high, high + grow, grow * 2
-        found = best_fit_decreasing(items, high, bins)
+        found = pack(high)
     while high - low > step:
         mid = (low + high) // 2
-        if (better := best_fit_decreasing(items, mid, bins)) is None:
+        if (better := pack(mid)) is None:
             low = mid
         else:
             found, high = better, mid
     return found
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, pallets_per_shard: int = PALLETS_PER_SHARD) -> DataFrame:
+Classes = list[tuple[int, int]]
+Placed = list[list[tuple[int, int]]]
+
+
+def best_fit_classes(classes: Classes, capacity: int, most: int | None = None) -> Placed | None:
+    """Best fit decreasing for (size, number of groups), largest first: per size how many groups enter which bin. A bin that
+    was the tightest is tighter still after an item, so it takes all that fit at once: the outcome is that of one by one."""
+    tree, bins, placed = BinTree(), 0, []
+    for size, count in classes:
+        if size > capacity:
+            return None
+        runs = []
+        while count:
+            at = tree.ceiling((size, -1))
+            if at is None:
+                if most is not None and bins >= most:
+                    return None
+                at, bins = (capacity, bins), bins + 1
+            else:
+                tree.delete(at)
+            k = min(count, at[0] // size)
+            runs.append((at[1], k))
+            tree.insert((at[0] - k * size, at[1]))
+            count -= k
+        placed.append(runs)
+    return placed
+
+
+def least_loaded_classes(classes: Classes, bins: int) -> Placed:
+    """As many groups of a size to each bin, the rest one by one to the least loaded."""
+    loads, placed = [(0, b) for b in range(bins)], []
+    for size, count in classes:
+        each = count // bins
+        runs = {b: each for b in range(bins)} if each else {}
+        loads = [(load + each * size, b) for load, b in loads]  # still a heap
+        for _ in range(count % bins):
+            load, b = loads[0]
+            runs[b] = runs.get(b, 0) + 1
+            heapq.heapreplace(loads, (load + size, b))
+        placed.append(sorted(runs.items()))
+    return placed
+
+
+def even_classes(classes: Classes, bins: int) -> Placed:
+    """``even_bins`` for (size, number of groups), largest first."""
+    total = sum(s * k for s, k in classes)
+    top = [s for s, k in classes[:bins] for _ in range(min(k, bins))]
+    n = alone(top, bins, total)
+    own, rest, first = [], [], n
+    for size, count in classes:
+        k = min(count, first)
+        own.append(k)
+        first -= k
+        rest.append((size, count - k))
+    left, packed = bins - n, [c for c in rest if c[1]]
+
+    def unevenness(placed):
+        loads = Counter()
+        for (size, _), runs in zip(packed, placed):
+            for b, k in runs:
+                loads[b] += size * k
+        return max(loads.values(), default=0), sum(x * x for x in loads.values())
+
+    whole = sum(s * k for s, k in packed)
+    fitted = least_capacity(whole, packed[0][0] if packed else 1, left, lambda capacity: best_fit_classes(packed, capacity, left))
+    shared = iter(min(fitted, least_loaded_classes(packed, left), key=unevenness))
+    out, at = [], 0
+    for (_, count), k in zip(rest, own):
+        out.append([(at + i, 1) for i in range(k)] + ([(n + b, m) for b, m in next(shared)] if count else []))
+        at += k
+    return out
+
+
+def size_class(size):
+    """``size`` rounded up to BITS significant bits."""
+    shift = F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", size + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1, shift), shift)
+
+
+def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: every row in one shard, equal texts together."""
     spark = docs.sparkSession
     text = text_or_empty()
@@ -196,31 +282,35 @@ def shard_documents(docs: DataFrame, shards: int = 24, pallets_per_shard: int =
             F.col("doc_id"),
             (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.sha2(text.cast("binary"), 256).alias("g"),
+            F.unhex(F.sha2(text.cast("binary"), 256)).alias("g"),
             F.monotonically_increasing_id().alias("uid"),
         ),
         "sizes",
     )
-    pallets = shards * pallets_per_shard
-    pallet = F.pmod(F.xxhash64("g"), F.lit(pallets)).cast("int")
+    salts = tasks_for(rows, 4 << 20)
     groups = rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    least, left, bins = None, total, shards
-    while least is None or left // (bins * FINE) < least:  # again, finer, where groups with a shard of their own leave less
-        least = left // (bins * FINE)
-        large = groups.where(F.col("bytes") > max(1, least)).collect()  # shards * FINE rows at most
-        own = alone([r.bytes for r in large], shards, total)
-        bins, left = shards - own, total - sum(sorted((r.bytes for r in large), reverse=True)[:own])
-    large_df = F.broadcast(spark.createDataFrame([(r.g, 0) for r in large], "g string, own int"))
-    rest = groups.join(large_df.select("g"), "g", "left_anti").groupBy(pallet.alias("pallet")).agg(F.sum("bytes").alias("bytes"))
-    items = [(r.bytes, r.g) for r in large] + [(r.bytes, r.pallet) for r in rest.collect()]  # and pallets rows at most
-    at = even_bins(items, shards)
-    own = F.broadcast(spark.createDataFrame([(r.g, at[r.g]) for r in large], "g string, own int"))
-    shared = F.broadcast(spark.createDataFrame([(k, v) for k, v in at.items() if isinstance(k, int)], "pallet int, shared int"))
-    placed = rows.withColumn("pallet", pallet).join(own, "g", "left").join(shared, "pallet", "left")
-    placed = placed.withColumn("shard", F.coalesce("own", "shared").cast("int"))
+    groups = stored(groups.withColumn("class", size_class(F.col("bytes"))).withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(salts)).cast("int")), "groups")
+    classes = sorted(((r["class"], r.n) for r in groups.groupBy("class").agg(F.count("*").alias("n")).collect()), reverse=True)  # one row a size class
+    runs = []
+    for (size, _), placed in zip(classes, even_classes(classes, shards)):
+        lo, own = 0, []
+        for b, k in placed:
+            own.append((lo, lo + k, b))
+            lo += k
+        runs.append((size, own))
+    plan = F.broadcast(spark.createDataFrame(runs, "class long, runs array<struct<lo:long,hi:long,shard:int>>"))
+    cells = groups.groupBy("class", "salt").agg(F.count("*").alias("k"))
+    before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("class", "salt", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("g")) - 1
+    ranked = groups.withColumn("rank", rank).join(cells, ["class", "salt"]).join(plan, "class").withColumn("rank", F.col("rank") + F.col("base"))
+    shard = F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"]))[0]["shard"]
+    found = stored(ranked.select("g", "n", shard.alias("shard")), "shards")
+    n_rows = rows.count()
+    hot = F.broadcast(found.where(F.col("n") * HOT > n_rows).select("g", "shard"))  # fewer than HOT rows
+    placed = rows.join(hot, "g").unionByName(rows.join(hot.select("g"), "g", "left_anti").join(found.select("g", "shard"), "g"))
     # slots: rows of a shard are dealt to chunks; a chunk's first slot is the number of rows in the chunks before it
-    chunks = max(1, tasks_for(rows, 4 << 20) * 4 // shards)
+    chunks = max(1, salts * 4 // shards)
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("uid"), F.lit(chunks)).cast("int"))
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -95,6 +95,51 @@ def test_sharding(spark):
     _ = F
 
 
+def test_size_classes_equal_plain_best_fit():
+    """Packing sizes with their numbers fills bins as packing the groups one by one does, and evenly."""
+    import random
+
+    from rulemill.llm.sharding import best_fit_classes, best_fit_decreasing, even_classes
+
+    rnd = random.Random(2)
+    for _ in range(60):
+        sizes = rnd.choices([rnd.randint(1, 300) for _ in range(rnd.randint(1, 40))], k=rnd.randint(1, 400))
+        classes = sorted(Counter(sizes).items(), reverse=True)
+        capacity = rnd.randint(max(sizes), 4 * max(sizes))
+        plain = Counter()
+        for i, b in best_fit_decreasing(list(zip(sizes, range(len(sizes)))), capacity).items():
+            plain[b] += sizes[i]
+        load = Counter()
+        for (size, count), runs in zip(classes, best_fit_classes(classes, capacity)):
+            assert sum(k for _, k in runs) == count
+            for b, k in runs:
+                load[b] += k * size
+        assert sorted(load.values()) == sorted(plain.values())
+    classes = sorted(((rnd.randint(8, 30000), rnd.randint(1, 10**6)) for _ in range(3000)), reverse=True)
+    load, total = Counter(), sum(s * k for s, k in classes)
+    for (size, count), runs in zip(classes, even_classes(classes, 24)):
+        assert sum(k for _, k in runs) == count
+        for b, k in runs:
+            load[b] += k * size
+    assert len(load) == 24 and max(load.values()) <= 1.0002 * total / 24 and min(load.values()) >= 0.998 * total / 24
+    assert even_classes([], 24) == []
+
+
+def test_shards_are_even_and_other_columns_ignored(spark):
+    from rulemill.llm.sharding import BITS, shard_documents, size_class
+
+    texts = [f"text {i} " * (1 + i % 37) for i in range(6000)] + ["x" * 4000] * 3
+    d = docs(spark, texts).withColumns({n: F.lit("x") for n in ("size", "g", "uid", "class", "salt", "shard", "rank", "n")})
+    load, shards = Counter(), {}
+    for r in shard_documents(d).collect():
+        load[r.shard] += r.size
+        assert shards.setdefault(texts[r.doc_id], r.shard) == r.shard
+    assert len(load) == 24 and max(load.values()) <= 1.01 * sum(load.values()) / 24 and min(load.values()) >= 0.98 * sum(load.values()) / 24
+    sizes = [1, 8, 4095, 4096, 4097, 8191, 8193, 10**9 + 1, 10**15 + 7]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "x long").select(size_class(F.col("x"))).collect()]
+    assert all(x <= y <= x * (1 + 2.0 ** (1 - BITS)) for x, y in zip(sizes, got)) and got[:3] == sizes[:3]
+
+
 def test_sharding_with_large_groups(spark):
     from rulemill.llm.sharding import even_bins, shard_documents
 
