@@ -18,7 +18,7 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         step = label.join(near, "node").select("node", F.least("component", "m").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
         label = cut(step.join(jump, "component").select("node", F.least("component", "up").alias("component")))
-        now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        now = label.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]  # ids of any type
         if now == seen:
             return label
         seen = now

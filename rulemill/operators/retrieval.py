@@ -29,6 +29,51 @@ def nearest(rows: DataFrame, ident: str, vector: str, query: list[float], k: int
     return rows.select(ident, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), ident).limit(k)
 
 
+QUERIES, ROWS = 1024, 8192  # vectors of a block
+
+
+def _best_of_block(ident: str, k: int):
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(vectors):
+        m = np.array(vectors, float)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        query, found, score = [], [], []
+        if asked.num_rows and rows.num_rows:
+            ids = np.array(rows.column("id").to_pylist())
+            cos = np.round(unit(asked.column("v").to_pylist()) @ unit(rows.column("v").to_pylist()).T, 6)
+            for own, values in zip(asked.column("id").to_pylist(), cos):
+                top = [i for i in np.lexsort((ids, -values))[: k + 1] if ids[i] != own][:k]
+                query += [own] * len(top)
+                found += ids[top].tolist()
+                score += values[top].tolist()
+        kind = rows.schema.field("id").type
+        return pa.table({"query_id": pa.array(query, kind), ident: pa.array(found, kind), "score": pa.array(score, pa.float64())})
+
+    return run
+
+
+def nearest_each(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
+    """(query_id, ident, score, place): for each query the k other rows with the largest cosine, to six places, exactly; ties by id.
+
+    Queries and rows are dealt to blocks of bounded size; every pair of blocks is one matrix product, of which k rows a query
+    are kept, so pairs are never rows and no task grows with the input."""
+    part = lambda df, size: max(1, -(-df.count() // size))
+    q, r = part(queries, QUERIES), part(rows, ROWS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slim = lambda df: df.select(F.col(ident).alias("id"), F.col(vector).alias("v"), F.xxhash64(ident).alias("h"))
+    own = lambda n: F.pmod("h", F.lit(n)).cast("int")
+    asked = slim(queries).select("id", "v", own(q).alias("i"), every(r).alias("j"))
+    given = slim(rows).select("id", "v", own(r).alias("j"), every(q).alias("i"))
+    kind = rows.schema[ident].dataType.simpleString()
+    best = asked.groupBy("i", "j").cogroup(given.groupBy("i", "j")).applyInArrow(_best_of_block(ident, k), f"query_id {kind}, {ident} {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), ident)
+    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def similar_pairs(rows: DataFrame, ident: str, block: str, vector: str, least: float) -> DataFrame:
     """(left_id, right_id, score) of one block at or above ``least``. Unit vectors are made once; the score stands in the
     join condition, so pairs below the threshold are never rows."""

@@ -10,14 +10,14 @@ from .registry import query
 
 EDGES = """
     e as (select 'S' || s_suppkey as src, 'N' || s_nationkey as dst, 'IN' as relation from supplier union all select 'N' || n_nationkey, 'R' || n_regionkey, 'OF' from nation
-      union all select distinct 'P' || l_partkey, 'S' || l_suppkey, 'FROM' from lineitem where l_quantity >= 49)"""
+      union all select distinct 'P' || l_partkey, 'S' || l_suppkey, 'FROM' from lineitem)"""
 
 
 def edges_of(spark, sf_dir):
     name = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
     s = read(spark, sf_dir, "supplier").select(name("S", "s_suppkey").alias("src"), name("N", "s_nationkey").alias("dst"), F.lit("IN").alias("relation"))
     n = read(spark, sf_dir, "nation").select(name("N", "n_nationkey").alias("src"), name("R", "n_regionkey").alias("dst"), F.lit("OF").alias("relation"))
-    li = read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
+    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return s.union(n).union(li.select(name("P", "l_partkey").alias("src"), name("S", "l_suppkey").alias("dst"), F.lit("FROM").alias("relation")))
 
 
@@ -64,6 +64,7 @@ def graph_cliques(spark, sf_dir):
     """Maximal groups of similar vectors; tested against brute force."""
     from ..operators.components import connected
     from ..operators.retrieval import similar_pairs
+    from ..operators.storage import cut
 
-    p = similar_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.35).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst"))
+    p = cut(similar_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.35).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
     return graph.maximal_cliques(p, connected(p))

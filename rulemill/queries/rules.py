@@ -11,11 +11,11 @@ from .registry import query
 RULES = """
     r as (select l_orderkey * 10 + l_linenumber as id, l_suppkey as standard_id, 'part.' || l_partkey || '.quantity' as subject, l_partkey,
       case l_returnflag when 'R' then 'must_exist' when 'A' then 'must_not_exist' else 'must_equal' end as predicate,
-      case when l_linestatus = 'O' then null else l_quantity end as lo, l_quantity + 5 as hi from lineitem where l_quantity >= 30)"""
+      case when l_linestatus = 'O' then null else l_quantity end as lo, l_quantity + 5 as hi from lineitem)"""
 
 
 def rules_of(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_quantity >= 30")
+    li = read(spark, sf_dir, "lineitem")
     p = F.when(F.col("l_returnflag") == "R", "must_exist").when(F.col("l_returnflag") == "A", "must_not_exist").otherwise("must_equal")
     return li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("standard_id"), F.concat(F.lit("part."), F.col("l_partkey").cast("string"), F.lit(".quantity")).alias("subject"),
@@ -46,7 +46,7 @@ def reason_effective(spark, sf_dir):
 
 
 @query("""
-    with p as (select l_orderkey as left_id, l_partkey % 1500 as right_id from lineitem where l_linenumber = 1 and l_orderkey <> l_partkey % 1500),
+    with p as (select l_orderkey as left_id, l_partkey as right_id from lineitem where l_orderkey <> l_partkey),
     q as (select distinct left_id, right_id from p),
     s as (select o_orderkey as id, o_custkey as std, case o_orderstatus when 'O' then 100 when 'F' then 80 else 30 end as pri, o_orderdate as d from orders)
     select q.left_id, q.right_id, case when a.pri <> b.pri then 'source' when a.d <> b.d then 'date' else 'manual' end as how,
@@ -56,18 +56,18 @@ def reason_resolved(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     source = F.when(F.col("o_orderstatus") == "O", "CABF-BR").when(F.col("o_orderstatus") == "F", "RFC 5280").otherwise("other")
     rules = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("standard_id"), source.alias("source"), F.col("o_orderdate").alias("publish_date"))
-    pairs = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("left_id"), (F.col("l_partkey") % 1500).alias("right_id")).where("left_id <> right_id").distinct()
+    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("left_id"), F.col("l_partkey").alias("right_id")).where("left_id <> right_id").distinct()
     return reasoning.resolved(pairs, rules)
 
 
 @query("""
-    with a as (select p_partkey as id, p_brand || '.' || p_type as subject, p_type as predicate, cast(p_size as varchar) as obligation from part where p_size <= 5),
-    b as (select p_partkey as lint, p_brand || '.' || p_type as subject, p_type as predicate, cast(p_size as varchar) as obligation from part where p_size between 3 and 7),
+    with a as (select p_partkey as id, p_brand || '.' || p_type as subject, p_type as predicate, cast(p_size as varchar) as obligation from part),
+    b as (select p_partkey as lint, p_brand || '.' || p_type as subject, p_type as predicate, cast(p_size as varchar) as obligation from part),
     s as (select a.id, b.lint, case when a.subject = b.subject then 0.5 else 0.0 end + case when a.predicate = b.predicate then 0.4 else 0.0 end + case when a.obligation = b.obligation then 0.3 else 0.0 end as score
       from a join b on split_part(a.subject, '.', 1) = split_part(b.subject, '.', 1))
     select id as rule_id, lint as lint_name, round(score::double, 6) as score from (select *, row_number() over (partition by id order by round(score::double, 6) desc, lint) as r from s where round(score::double, 6) >= 0.3) where r = 1""")
 def reason_scored_links(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", "p_brand", "p_type").alias("subject"), F.col("p_type").alias("predicate"), F.col("p_size").cast("string").alias("obligation"), F.lit(None).cast("string").alias("constraint_value"), "p_size")
-    a = p.where("p_size <= 5").withColumnRenamed("p_partkey", "id")
-    b = p.where("p_size between 3 and 7").withColumnRenamed("p_partkey", "lint_name")
+    a = p.withColumnRenamed("p_partkey", "id")
+    b = p.withColumnRenamed("p_partkey", "lint_name")
     return reasoning.scored_links(a, b).withColumn("score", F.round("score", 6))

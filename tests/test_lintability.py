@@ -18,6 +18,30 @@ def test_gate(spark):
     assert [i for i, v in obs.items() if v] == [1, 5, 6, 7, 8, 10]
 
 
+def test_wording(spark):
+    from pyspark.sql import functions as F
+
+    from rulemill.operators.lintability import CROSS_OR_RUNTIME, NOT_OBSERVABLE, says
+
+    refused = [
+        "The CA SHALL retain all records of issuance.", "CAs MUST verify that the Applicant controls the domain.", "Relying parties MUST be able to process it.",
+        "The field MUST contain the legal name of the holder.", "The serial holds 64 bits of entropy.", "The key MUST NOT be used to issue certificates.",
+        "It applies when validating a path.", "Certificates for internal purposes are marked.", "The URI MUST point to a document.",
+    ]
+    kept = [
+        "The extension MUST be critical.", "The CA field MUST be present.", "The issuer field MUST contain a non-empty name.", "The log of changes is kept elsewhere. The field MUST be present.",
+        "Users are listed in annex A.", "The value MUST be encoded as UTF8String.",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(refused + kept)] + [(99, None)], "id int, text string")
+    got = {r.id: r.no for r in rows.select("id", says(F.coalesce("text", F.lit("")), NOT_OBSERVABLE).alias("no")).collect()}
+    assert [got[i] for i in range(len(refused + kept))] == [True] * len(refused) + [False] * len(kept) and not got[99]
+    cross = ["The number is unique to each CRL issuer.", "A delta CRL MUST have it.", "It is available via HTTP.", "The certificate is revoked.", "It equals that of the other certificate."]
+    alone = ["The number MUST be positive.", "The extension MUST be absent.", "The unique identifier MUST NOT be present."]
+    rows = spark.createDataFrame(list(enumerate(cross + alone)), "id int, text string")
+    got = {r.id: r.no for r in rows.select("id", says(F.col("text"), CROSS_OR_RUNTIME).alias("no")).collect()}
+    assert [got[i] for i in range(8)] == [True] * 5 + [False] * 3
+
+
 def test_candidates(spark):
     rules = spark.createDataFrame([(1, "RFC", "4.1.2"), (2, "RFC5280", "4.10"), (3, "CABF-BR", "7"), (4, "ETSI", "1"), (5, "RFC", None)], "id int, source string, section string")
     lints = spark.createDataFrame([("a", "RFC", "4.1"), ("b", "RFC", "4.1.2.5"), ("c", "CABF", "7.1"), ("d", "RFC", "4")], "lint_name string, source string, section string")
