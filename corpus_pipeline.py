@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulemill.llm.common import stored, table
+from rulemill.llm.common import dropped, stored, table
 from rulemill.llm.exact import without_copies
 from rulemill.llm.langid import identify
 from rulemill.llm.ngram_join import ngram_join
@@ -53,6 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            dropped(last)  # nothing reads a stage's table once the next one is written
     return STAGES[-1][1](spark, docs, sf_dir)
