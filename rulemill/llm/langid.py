@@ -32,7 +32,7 @@ ROWS = 256  # rows taken out of an Arrow batch at once
 GROUPS = 16  # partial sums of document frequencies that reach the driver
 FOLDS = 5  # parts of the sample, each compared with centroids of the others
 CUTS = [4 << k for k in range(8)]  # code points of the beginnings that stand for short texts
-LOW, LOW_SHORT, SHORT, MARGIN = 0.01, 0.02, 9, 0.75  # a document is rejected below MARGIN of this quantile of held-back cosines; short: under 2^SHORT letters
+LOW, LOW_SHORT, SHORT, MARGIN = 0.01, 0.02, 9, 0.6  # a document is rejected below MARGIN of this quantile of held-back cosines; short: under 2^SHORT letters
 ENOUGH = 30  # cosines; a length with fewer is joined with the next shorter one
 LENGTHS = 40
 UNKNOWN = "und"
