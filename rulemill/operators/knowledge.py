@@ -8,41 +8,52 @@ from pyspark.sql import functions as F
 from ..functions.text import KEYWORDS, keyword_pattern, normalised, token_jaccard
 from ..functions.vectors import normalised as unit
 
-#: Wordings that bind without a keyword: a verb phrase and what may follow it, by kind.
-BINDING = {
-    "equivalence": ("is|are", "equivalent to|identical to|equal to"),
-    "constraint": ("is|are", "limited to|restricted to|confined to"),
-    "requirement": ("is|are", "required to|expected to|needed to"),
-    "prohibition": ("is|are", "not permitted|not allowed|not valid|not acceptable"),
-    "inclusion": ("is|are", "to include|to contain|to have|to be"),
-    "delegation": ("in accordance with|as specified in|as defined in|as described in|conforms to|conform to", "rfc|etsi|iso|iec|ietf|cabf|section|clause|annex|this document|this standard"),
-    "conditional_match": ("matches|satisfies|meets", "requirements|the requirements|criteria|the criteria|conditions|the conditions"),
-}
-#: What a condition speaks of, and the words that say so.
-SUBJECTS = {"c.IsCA": r"ca\s*=\s*true|is an?\s+ca\b", "c.SubjectAltName": "subject ?alt(?:ernative)? ?name", "validity_days": "validity"}
+#: Comparisons that a condition may state, in order of precedence: what a clause matches, its operator, and the operator of
+#: its opposite. The first group is the field, the second (if any) the value.
+COMPARISONS = (
+    (r"^(.+?) (?:is|are) (?:not present|absent|missing)$", "ABSENT", "EXISTS"),
+    (r"^(.+?) (?:is|are) (?:present|included|given)$", "EXISTS", "ABSENT"),
+    (r"^(.+?) (?:is|are) at least (.+)$", ">=", "<"),
+    (r"^(.+?) (?:is|are) at most (.+)$", "<=", ">"),
+    (r"^(.+?) (?:exceeds?|(?:is|are) (?:greater|more|longer|larger) than) (.+)$", ">", "<="),
+    (r"^(.+?) (?:is|are) (?:less|fewer|shorter|smaller) than (.+)$", "<", ">="),
+    (r"^(.+?) (?:contains?|includes?) (.+)$", "CONTAINS", "LACKS"),
+    (r"^(.+?) (?:is|are) not (?:equal to )?(.+)$", "!=", "=="),
+    (r"^(.+?) ?(?:equals?|= ?|(?:is|are)(?: equal to)?) ?(.+)$", "==", "!="),
+)
 LIST_ITEM = r"^\s*(?:[•*–-]|\d+[.)]|\([a-z]\)|[a-z]\))\s+(.*)$"
 
 
-def binding_kinds(text: Column) -> Column:
-    """Kinds of wording in a sentence that binds without a keyword; a sentence with a keyword has none."""
+def binding_kinds(text: Column, wording: dict[str, str]) -> Column:
+    """Kinds of wording in a sentence that binds without a keyword; a sentence with a keyword has none. ``wording``: a
+    regular expression over normalised text for each kind, in the order of the result; what binds in a corpus is an input."""
     plain = normalised(text)
-    found = F.array(*[F.when(plain.rlike(rf"\b(?:{verb})\s+(?:{rest})\b"), F.lit(kind)) for kind, (verb, rest) in BINDING.items()])
-    return F.when(text.rlike(keyword_pattern(KEYWORDS)), F.array().cast("array<string>")).otherwise(F.coalesce(F.array_compact(found), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    if not wording:
+        return none
+    found = F.array(*[F.when(plain.rlike(w), F.lit(kind)) for kind, w in wording.items()])
+    return F.when(text.rlike(keyword_pattern(KEYWORDS)), none).otherwise(F.coalesce(F.array_compact(found), none))
 
 
 def conditions_of(text: Column) -> Column:
-    """Conditions that a sentence states after if, when or unless: {field, operator, value}; all hold together."""
-    plain = normalised(text)
-    clause = lambda words, what: plain.rlike(rf"\b(?:{words})\b[^.;]*?(?:{what})")
-    days = F.regexp_extract(plain, rf"\b(?:if|when)\b[^.;]*?{SUBJECTS['validity_days']}[^.;]*?(?:exceeds?|greater than)\s+(\d+)\s*days?", 1)
-    one = lambda field, op, value: F.struct(F.lit(field).alias("field"), F.lit(op).alias("operator"), value.cast("string").alias("value"))
-    return F.array_compact(
-        F.array(
-            F.when(clause("if", SUBJECTS["c.IsCA"]), one("c.IsCA", "==", F.lit("true"))),
-            F.when(days != "", one("validity_days", ">", days)),
-            F.when(clause("unless", SUBJECTS["c.SubjectAltName"] + r"[^.;]*\bpresent"), one("c.SubjectAltName", "EXISTS", F.lit(None))),
-        )
-    )
+    """Conditions that a sentence states after if, when, where or unless: {field, operator, value}; all hold together. A
+    clause ends at a comma, semicolon or full stop before white space; its parts are joined by ``and``; ``unless`` states
+    the opposite. A part that compares nothing is left out."""
+    plain = F.regexp_replace(normalised(text), r"[.;,]+(?=\s|$)", "|")
+    heads = F.regexp_extract_all(plain, F.lit(r"\b(if|when|where|unless)\b ?([^|]*)"), F.lit(1))
+    clauses = F.regexp_extract_all(plain, F.lit(r"\b(if|when|where|unless)\b ?([^|]*)"), F.lit(2))
+    parts = F.flatten(F.zip_with(heads, clauses, lambda h, c: F.transform(F.split(c, r" and "), lambda p: F.struct((h == "unless").alias("opposite"), F.regexp_replace(F.trim(p), r"^(?:(?:if|when|the|a|an|any|its|this) )+", "").alias("says")))))
+
+    def read(part):
+        out = F.lit(None)
+        for pattern, operator, opposite in reversed(COMPARISONS):
+            says = part["says"]
+            value = F.regexp_extract(says, pattern, 2) if pattern.count("(") - pattern.count("(?:") > 1 else F.lit(None).cast("string")
+            one = F.struct(F.regexp_extract(says, pattern, 1).alias("field"), F.when(part["opposite"], opposite).otherwise(operator).alias("operator"), value.alias("value"))
+            out = F.when(says.rlike(pattern), one).otherwise(out)
+        return out
+
+    return F.array_compact(F.transform(parts, read))
 
 
 def list_items(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

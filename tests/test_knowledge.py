@@ -7,12 +7,22 @@ from rulemill.operators import knowledge as k
 
 
 def test_wording(spark):
-    rows = [(1, "The period is limited to one year."), (2, "The period MUST be limited to a year, which is required to hold."), (3, "It is encoded as specified in RFC 5280 and is not allowed elsewhere."), (4, None), (5, "Plain prose.")]
-    got = {r.id: r.kinds for r in spark.createDataFrame(rows, "id int, text string").select("id", k.binding_kinds(F.col("text")).alias("kinds")).collect()}
-    assert got == {1: ["constraint"], 2: [], 3: ["prohibition", "delegation"], 4: [], 5: []}
-    rows = [(1, "If the certificate is a CA, and when the validity exceeds 398 days"), (2, "Unless subjectAltName is present"), (3, "If cA=TRUE then"), (4, "A CA is here"), (5, None)]
+    wording = {"limit": r"\bno longer than\b", "likeness": r"\bsame as\b", "leave": r"\bfree to\b"}
+    rows = [(1, "The rope is no longer than a day."), (2, "It MUST be no longer than a day."), (3, "It is the same as that, free to go."), (4, None), (5, "Plain prose.")]
+    got = {r.id: r.kinds for r in spark.createDataFrame(rows, "id int, text string").select("id", k.binding_kinds(F.col("text"), wording).alias("kinds")).collect()}
+    assert got == {1: ["limit"], 2: [], 3: ["likeness", "leave"], 4: [], 5: []}
+
+
+def test_conditions(spark):
+    rows = [
+        (1, "If the certificate is a CA, and when the validity exceeds 398 days"), (2, "Unless subjectAltName is present"), (3, "If cA=TRUE then"), (4, "A CA is here"), (5, None),
+        (6, "It holds when the key size is at least 2048 and the curve is not P-192; else not."), (7, "Unless the list contains a name and its length is less than 3."), (8, "when nothing happens, if policy is absent."),
+    ]
     got = {r.id: [(c.field, c.operator, c.value) for c in r.c or []] for r in spark.createDataFrame(rows, "id int, text string").select("id", k.conditions_of(F.col("text")).alias("c")).collect()}
-    assert got == {1: [("c.IsCA", "==", "true"), ("validity_days", ">", "398")], 2: [("c.SubjectAltName", "EXISTS", None)], 3: [("c.IsCA", "==", "true")], 4: [], 5: []}
+    assert got == {
+        1: [("certificate", "==", "a ca"), ("validity", ">", "398 days")], 2: [("subjectaltname", "ABSENT", None)], 3: [("ca", "==", "true then")], 4: [], 5: [],
+        6: [("key size", ">=", "2048"), ("curve", "!=", "p-192")], 7: [("list", "LACKS", "a name"), ("length", ">=", "3")], 8: [("policy", "ABSENT", None)],
+    }
 
 
 def test_lists(spark):

@@ -10,36 +10,25 @@ def test_gate(spark):
     good = (1, "MUST", "Certificate", "extensions.keyUsage", "must_be_present", "encoding_constraint", "Encoding", "The extension MUST be present in the certificate.")
     rows = [good, (2, "MAY", *good[2:]), (3, *good[1:2], "CA", *good[3:]), (4, *good[1:3], "phone_contact.x", *good[4:]), (5, *good[1:5], "comparison", *good[6:]), (6, *good[1:6], "Validation", good[7])]
     rows += [(7, *good[1:7], "The CA MUST maintain a record of it."), (8, *good[1:5], None, None, good[7]), (9, None, None, None, None, None, None, None), (10, "SHOULD_NOT", *good[2:])]
-    got = {r.id: (r.lintable, list(r.reasons)) for r in gate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.id: (r.lintable, list(r.reasons)) for r in gate(spark.createDataFrame(rows, SCHEMA), [" must maintain .* record "]).collect()}
     assert got[1] == (True, []) and got[8] == (True, []) and got[10] == (True, [])
     assert [got[i][1] for i in range(2, 8)] == [["obligation"], ["assertion_subject"], ["subject"], ["category"], ["phase"], ["not_observable"]]
     assert got[9] == (False, ["obligation", "assertion_subject", "subject"])
-    obs = {r.id: r.observable for r in observable(spark.createDataFrame([*rows, (11, *good[1:7], "a | MUST be present here"), (12, *good[1:7], "unique for each certificate")], SCHEMA)).collect()}
+    obs = {r.id: r.observable for r in observable(spark.createDataFrame([*rows, (11, *good[1:7], "a | MUST be present here"), (12, *good[1:7], "unique for each certificate")], SCHEMA), [" unique for "]).collect()}
     assert [i for i, v in obs.items() if v] == [1, 5, 6, 7, 8, 10]
 
 
 def test_wording(spark):
     from pyspark.sql import functions as F
 
-    from rulemill.operators.lintability import CROSS_OR_RUNTIME, NOT_OBSERVABLE, says
+    from rulemill.operators.lintability import says
 
-    refused = [
-        "The CA SHALL retain all records of issuance.", "CAs MUST verify that the Applicant controls the domain.", "Relying parties MUST be able to process it.",
-        "The field MUST contain the legal name of the holder.", "The serial holds 64 bits of entropy.", "The key MUST NOT be used to issue certificates.",
-        "It applies when validating a path.", "Certificates for internal purposes are marked.", "The URI MUST point to a document.",
-    ]
-    kept = [
-        "The extension MUST be critical.", "The CA field MUST be present.", "The issuer field MUST contain a non-empty name.", "The log of changes is kept elsewhere. The field MUST be present.",
-        "Users are listed in annex A.", "The value MUST be encoded as UTF8String.",
-    ]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(refused + kept)] + [(99, None)], "id int, text string")
-    got = {r.id: r.no for r in rows.select("id", says(F.coalesce("text", F.lit("")), NOT_OBSERVABLE).alias("no")).collect()}
-    assert [got[i] for i in range(len(refused + kept))] == [True] * len(refused) + [False] * len(kept) and not got[99]
-    cross = ["The number is unique to each CRL issuer.", "A delta CRL MUST have it.", "It is available via HTTP.", "The certificate is revoked.", "It equals that of the other certificate."]
-    alone = ["The number MUST be positive.", "The extension MUST be absent.", "The unique identifier MUST NOT be present."]
-    rows = spark.createDataFrame(list(enumerate(cross + alone)), "id int, text string")
-    got = {r.id: r.no for r in rows.select("id", says(F.col("text"), CROSS_OR_RUNTIME).alias("no")).collect()}
-    assert [got[i] for i in range(8)] == [True] * 5 + [False] * 3
+    wording = [" must .*keep ", " bakers? .*oven "]
+    texts = ["The shop MUST always keep flour.", "Keep it; it must rise.", "The baker heats the oven!", "The baker sleeps. The oven is cold.", "Must\nkeep", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.no for r in rows.select("id", says(F.coalesce("text", F.lit("")), wording).alias("no")).collect()}
+    assert [got[i] for i in range(6)] == [True, False, True, False, False, False]
+    assert not any(r.no for r in rows.select(says(F.coalesce("text", F.lit("")), []).alias("no")).collect())
 
 
 def test_candidates(spark):
