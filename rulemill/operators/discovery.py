@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import KEYWORDS, canonical_keyword, keyword_pattern, keywords_in, normalised, sentences_of
+from .stars import greedy_stars
 
 #: Headings of Markdown, numbered and plain-text documents.
 HEADING = r"^(?:#{1,6}\s+)?(?:(?:Section\s+)?([0-9]+(?:\.[0-9]+)*)\.?\s+|#{1,6}\s+)(\S.*)$"
@@ -84,21 +82,7 @@ def deduped(rows: DataFrame, key: list[str], ident: str) -> DataFrame:
 def fuzzy_merge(rows: DataFrame, block: list[str], ident: str, text: str, least: float = 0.85) -> DataFrame:
     """(id, star): rows of one block whose texts are alike, greedily in order of id: a row joins the first star whose
     centre it resembles, else becomes one. Blocks share subject, obligation, predicate and references."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        centres, out = [], []
-        for i, t in zip(pdf[ident], pdf[text].fillna("")):
-            m = SequenceMatcher(None, "", t, autojunk=False)
-            for c, u in centres:
-                m.set_seq1(u)
-                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
-                    out.append((i, c))
-                    break
-            else:
-                centres.append((i, t))
-                out.append((i, i))
-        return pd.DataFrame(out, columns=["id", "star"])
-    return rows.select(*block, ident, text).groupBy(*block).applyInPandas(run, "id long, star long")
+    return greedy_stars(rows, block, ident, text, least).withColumnRenamed(ident, "id")
 
 
 def merged(rows: DataFrame, stars: DataFrame, ident: str, confidence: str, lists: list[str]) -> DataFrame:

@@ -1,11 +1,11 @@
-"""What documents say beyond their keywords: definitions, cross references, conditions, lists, and rules said twice."""
+"""What documents say beyond their keywords: definitions, cross references, conditions and lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import KEYWORDS, keyword_pattern, normalised, token_jaccard
+from ..functions.text import KEYWORDS, keyword_pattern, normalised
 from ..functions.vectors import normalised as unit
 
 #: Comparisons that a condition may state, in order of precedence: what a clause matches, its operator, and the operator of
@@ -84,25 +84,6 @@ def cross_references(sections: DataFrame, terms: DataFrame) -> DataFrame:
     return near.join(s, "src").where(F.contains("plain", F.concat(F.lit(" "), F.col("term"), F.lit(" ")))).select("src", "dst").distinct()
 
 
-def converged(rules: DataFrame, least: float = 0.5) -> DataFrame:
-    """Adds ``into``: the rule that a rule is merged into (its own id if it stays). Rules of one subject, predicate and
-    obligation: the first rule of a scope takes the unscoped summary nearest in words, each summary but once; unscoped
-    rules left over with the same constraint become one. rules: id, subject, predicate, obligation, scope, constraint, text."""
-    key = ["subject", "predicate", "obligation"]
-    lead = rules.where("scope is not null").groupBy(*key, "scope").agg(F.min("id").alias("id"))
-    scoped, loose = rules.join(lead.select("id"), "id", "left_semi"), rules.where("scope is null")
-    a, b = scoped.alias("a"), loose.alias("b")
-    near = F.coalesce(token_jaccard(F.col("a.text"), F.col("b.text")), F.lit(0.0))
-    pairs = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key])
-    pairs = pairs.select(F.col("a.id").alias("detail"), F.col("b.id").alias("summary"), near.alias("score")).where(F.col("score") >= least)
-    mine = F.row_number().over(Window.partitionBy("detail").orderBy(F.desc("score"), "summary"))
-    whose = F.row_number().over(Window.partitionBy("summary").orderBy(F.desc("score"), "detail"))
-    taken = pairs.withColumn("m", mine).withColumn("w", whose).where("m = 1 and w = 1").select(F.col("summary").alias("id"), F.col("detail").alias("to"))
-    rest = loose.join(taken.select("id"), "id", "left_anti").groupBy(*key, "constraint").agg(F.min("id").alias("first"))
-    alike = loose.join(taken.select("id"), "id", "left_anti").alias("x").join(rest.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*key, "constraint"]]).select(F.col("x.id").alias("id"), F.col("y.first").alias("to"))
-    return rules.join(taken.union(alike), "id", "left").withColumn("into", F.coalesce("to", "id")).drop("to")
-
-
 def group_similarity(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """group, n, mean of the cosines of all pairs of its members. No pair is made: the squared length of the sum of unit
     vectors holds all cosines, n of them of a member with itself."""

@@ -41,15 +41,6 @@ def test_definitions_and_cross_references(spark):
     assert {tuple(r) for r in k.cross_references(s, t).collect()} == {("3", "1"), ("3", "2")}
 
 
-def test_converged(spark):
-    rows = [
-        (1, "s", "p", "MUST", "b1", "x", "the key must be long enough"), (2, "s", "p", "MUST", "b1", "y", "more of the block"), (3, "s", "p", "MUST", "b2", "x", "other words entirely here"),
-        (4, "s", "p", "MUST", None, "x", "key must be long enough"), (5, "s", "p", "MUST", None, "z", "unscoped rule"), (6, "s", "p", "MUST", None, "z", "unscoped rule again"), (7, "s", "p", "MAY", None, "z", "unscoped rule"), (8, None, "p", "MAY", None, None, None),
-    ]
-    got = {r.id: r["into"] for r in k.converged(spark.createDataFrame(rows, "id int, subject string, predicate string, obligation string, scope string, constraint string, text string")).collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7, 8: 8}
-
-
 def test_group_similarity(spark):
     rnd = random.Random(1)
     rows = [(i, i % 3, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(20)] + [(99, 7, [1.0] * 8)]
