@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, knowledge, predicates, relational, rules, texts
+from . import convergence, graphs, knowledge, predicates, relational, rules, texts
 from .registry import QUERIES, SQL
 
 
@@ -14,4 +14,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-_ = (graphs, knowledge, predicates, relational, rules, texts)
+_ = (convergence, graphs, knowledge, predicates, relational, rules, texts)

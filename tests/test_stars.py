@@ -1,3 +1,4 @@
+import os
 import random
 from difflib import SequenceMatcher
 
@@ -7,6 +8,9 @@ from rulemill.operators import stars
 from rulemill.operators.discovery import fuzzy_merge, merged
 
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 def sequential(rows, least, measure):
     """rows: id, block, text."""
     out, centres = {}, {}
@@ -85,3 +89,12 @@ def test_merged(spark):
     d = spark.createDataFrame([(1, 0.5, ["a"]), (2, 0.9, ["b", "a"]), (3, 0.1, [])], "id long, conf double, refs array<string>")
     s = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, star long")
     assert {(r.star, r.id, r.conf, tuple(r.refs)) for r in merged(d, s, "id", "conf", ["refs"]).collect()} == {(1, 2, 0.9, ("a", "b")), (3, 3, 0.1, ())}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_registered_query(spark):
+    from rulemill.queries import queries
+    from rulemill.session import read
+
+    want = sequential([(r.p_partkey, r.p_type, f"{r.p_name} {r.p_brand} {r.p_size}") for r in read(spark, SF, "part").collect()], 0.85, "ratio")
+    assert {r.id: r.star for r in queries()["merge_fuzzy"](spark, SF).collect()} == want
