@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
@@ -43,6 +43,45 @@ def subgraph(edges: DataFrame, start: list, depth: int, most: int | None = None)
     return nodes, induced(edges, nodes)
 
 
+#: Relations that are followed first, in order; all others come after them.
+PRIORITY = ("CONTAINS", "DEFINES", "REFERENCES", "APPLIES_TO", "HAS_ACTOR", "INVOKES_ALGORITHM", "STORES_IN", "REQUIRES_ENCODING", "HAS_PARAM", "HAS_STORAGE_TARGET", "HAS_FIELD_ENCODING")
+
+
+def budgeted(nodes: DataFrame, edges: DataFrame, start: list, depth: int = 3, most: int = 100, relations: list[str] | None = None, priority: tuple = PRIORITY) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` nodes of a breadth-first walk from ``start``, and the edges that it went along between them.
+
+    nodes (node, distance, place): the neighbours of an earlier node come before those of a later one; those of one node by
+    the priority of the relation, then edges out before edges in, then the neighbour. edges (src, dst, relation): from a node
+    to one that the walk reached later. One join of the frontier a step; a step keeps no more nodes than the budget has left,
+    found as the top of the order, so what is held never grows beyond it."""
+    spark = edges.sparkSession
+    kind = dict(edges.dtypes)["src"]
+    e = edges.where(F.col("relation").isin(*relations)) if relations else edges
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("relation")), F.lit(0))
+    rank = F.when(rank == 0, len(priority) + 1).otherwise(rank)
+    e = e.select("src", "dst", "relation", F.lit(0).alias("way")).union(e.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", F.lit(1).alias("way")))
+    known = nodes.select("node").distinct()
+    wanted = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(start))], f"node {kind}, i int").join(known, "node", "left_semi")
+    order = F.row_number().over(Window.orderBy("o")) - 1  # over the budget's rows
+    top = lambda df, n: df.orderBy("o").limit(n).select("node", order.alias("place"))
+    seen = frontier = cut(top(wanted.select("node", F.col("i").alias("o")), most).withColumn("distance", F.lit(0)))
+    held = seen.count()
+    for d in range(1, depth + 1):
+        if held >= most:
+            break
+        step = e.join(frontier.select(F.col("node").alias("src"), "place"), "src").select(F.col("dst").alias("node"), F.struct("place", rank.alias("rank"), "way", F.col("dst").alias("n")).alias("o"))
+        new = step.groupBy("node").agg(F.min("o").alias("o")).join(seen.select("node"), "node", "left_anti").join(known, "node", "left_semi")
+        frontier = cut(top(new, most - held).select("node", (F.col("place") + held).alias("place"), F.lit(d).alias("distance")))
+        found = frontier.count()
+        if not found:
+            break
+        seen, held = seen.unionByName(frontier), held + found
+    a = seen.where(F.col("distance") < depth).select(F.col("node").alias("src"), F.col("place").alias("a"))
+    b = seen.select(F.col("node").alias("dst"), F.col("place").alias("b"))
+    along = e.join(a, "src").join(b, "dst").where("b > a").select("src", "dst", "relation").distinct()
+    return seen.select("node", "distance", "place"), along
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("node").distinct()
     return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")

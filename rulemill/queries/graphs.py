@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import cycles, graph
 from ..session import read
 from .registry import query
 
@@ -68,3 +68,35 @@ def graph_cliques(spark, sf_dir):
 
     p = cut(similar_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.35).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
     return graph.maximal_cliques(p, connected(p))
+
+
+REFERENCES = """
+    e as (select distinct o_custkey as src, o_orderkey % 1499 as dst from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus <> 'O')"""
+
+
+@query(f"""with recursive {REFERENCES}, w(s, node) as (select src, dst from e union select w.s, e.dst from w join e on e.src = w.node),
+    c as (select a.s as node, least(min(b.s), a.s) as component from w a left join w b on b.node = a.s and a.node = b.s group by a.s having bool_or(a.node = a.s))
+    select node, component, count(*) over (partition by component) as size from c""")
+def graph_cycles(spark, sf_dir):
+    """Customers refer to each other through orders: the components of all cycles of references."""
+    o = read(spark, sf_dir, "orders").where("o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus <> 'O'")
+    return cycles.reference_cycles(o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1499).alias("dst")).distinct())
+
+
+@query(f"""with recursive {EDGES}, b as (select src, dst, relation, 0 as way from e union all select dst, src, relation, 1 from e),
+    p as (select *, case relation when 'OF' then 1 when 'IN' then 2 else 3 end as rank from b),
+    l0 as (select 'R1' as node, 0 as distance, 0::bigint as place),
+    l1 as (select node, 1 as distance, row_number() over (order by o) as place from (select dst as node, min(struct_pack(a := l.place, b := rank, c := way, d := dst)) as o from p join l0 l on p.src = l.node group by dst) where node not in (select node from l0)),
+    s1 as (select * from l0 union all select * from l1),
+    l2 as (select node, 2 as distance, (select count(*) from s1) - 1 + row_number() over (order by o) as place from (select dst as node, min(struct_pack(a := l.place, b := rank, c := way, d := dst)) as o from p join l1 l on p.src = l.node group by dst) where node not in (select node from s1)),
+    s2 as (select * from s1 union all select * from l2),
+    l3 as (select node, 3 as distance, (select count(*) from s2) - 1 + row_number() over (order by o) as place from (select dst as node, min(struct_pack(a := l.place, b := rank, c := way, d := dst)) as o from p join l2 l on p.src = l.node group by dst) where node not in (select node from s2)),
+    s as (select * from (select * from s2 union all select * from l3) where place < 40)
+    select s.node, s.distance, s.place, (select count(*) from (select distinct p.src, p.dst, p.relation from p join s t on t.node = p.dst where p.src = s.node and t.place > s.place and s.distance < 3)) as edges_out from s""")
+def graph_budgeted(spark, sf_dir):
+    """The first forty nodes around a region by relation priority, with the number of edges that lead on from each."""
+    e = edges_of(spark, sf_dir)
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
+    found, along = graph.budgeted(nodes, e, ["R1"], 3, 40, priority=("OF", "IN"))
+    n = along.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("edges_out"))
+    return found.join(n, "node", "left").na.fill(0, ["edges_out"])
