@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import discovery, retrieval
+from ..operators import blocks, discovery, retrieval
 from ..session import read
 from .registry import query
 
@@ -119,3 +119,26 @@ def match_channels(spark, sf_dir):
     j = j.select("s_suppkey", "c_custkey", F.lit(1.0).alias("subject"), near.alias("semantic"), F.when((F.col("s_acctbal") < 0) == (F.col("c_acctbal") < 0), 1.0).otherwise(0.0).alias("predicate"), F.when(F.col("s_suppkey") % 10 == F.col("c_custkey") % 10, 1.0).otherwise(0.0).alias("keyword"), F.lit(0.0).alias("section"))
     j = j.withColumn("score", F.round(retrieval.channel_score(), 8))
     return retrieval.top_matches(j, "s_suppkey", "c_custkey", 3).select("s_suppkey", "c_custkey", "score", retrieval.band(F.col("score")).alias("band"), "place")
+
+
+@query(r"""
+    with t as (select doc_id, translate(text, chr(1) || chr(2) || chr(3), '   ') as text from documents),
+    l as (select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i from t),
+    c as (select *, case when trim(translate(s, chr(9) || chr(13) || chr(12) || chr(11), '    ')) = '' then 'b' when regexp_matches(s, '^[ \t\r\f\x0B]*\|.*\|[ \t\r\f\x0B]*$') then 'r'
+        when regexp_matches(s, '^[ \t\r\f\x0B]*(?:[*+•–-]|\(?[0-9]{1,3}[.)]|\(?[a-z]\)|\(?[ivx]+\))[ \t\r\f\x0B]+[^ ]') then 'i' when contains(s, '::=') then 'd' else 'p' end as c from l),
+    m as (select *, coalesce(lag(c) over (partition by doc_id order by i), 'b') as b from c),
+    n as (select *, sum(case when c = 'p' then (b in ('b', 'r'))::int when c = 'r' then (b <> 'r')::int else 1 end) over (partition by doc_id order by i) as k from m),
+    g as (select doc_id, k, arg_min(c, i) as c, string_agg(s, chr(10) order by i) as s, list(s order by i) as rows from n group by 1, 2),
+    p as (select doc_id, c, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(s, '[ \t\r\n\f\x0B]+', ' ', 'g')), '\b(e\.g|i\.e|cf|vs|No|Sec|Fig)\. ', '\1.' || chr(2), 'g'),
+        '([.!?]) (and|or|but)\b', '\1' || chr(2) || '\2', 'g'), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) as x from g where c in ('p', 'i')),
+    h as (select doc_id, rows, len(rows) > 1 and regexp_matches(coalesce(rows[2], ''), '^[ \t|:-]*-[ \t|:-]*$') as headed from g where c = 'r'),
+    r as (select doc_id, headed, rows[1] as head, unnest(list_filter(case when headed then rows[3:] else rows end, lambda y: not regexp_matches(y, '^[ \t|:-]*-[ \t|:-]*$'))) as x from h),
+    e as (select doc_id, headed, list_transform(string_split(regexp_replace(replace(trim(translate(x, chr(9) || chr(13) || chr(12) || chr(11), '    ')), '\|', chr(3)), '^\||\|$', '', 'g'), '|'), lambda y: trim(replace(y, chr(3), '|'))) as v,
+        list_transform(string_split(regexp_replace(replace(trim(translate(head, chr(9) || chr(13) || chr(12) || chr(11), '    ')), '\|', chr(3)), '^\||\|$', '', 'g'), '|'), lambda y: trim(replace(y, chr(3), '|'))) as w from r),
+    o as (select doc_id, case c when 'p' then 'prose' else 'item' end as kind, trim(x) as x from p union all
+        select doc_id, 'row', list_aggregate(list_filter(list_transform(v, lambda y, j: case when y = '' then null when headed and coalesce(w[j], '') <> '' then w[j] || ': ' || y else y end), lambda y: y is not null), 'string_agg', '; ') from e)
+    select doc_id, kind, count(*) as sentences, sum(length(x))::bigint as chars from o where coalesce(x, '') <> '' group by 1, 2""")
+def text_blocks(spark, sf_dir):
+    """Sentences of whole documents by what they stand in: prose, items of lists, rows of tables."""
+    s = blocks.sentences(read(spark, sf_dir, "documents"), ["doc_id"]).where("kind <> 'definition'")
+    return s.groupBy("doc_id", "kind").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence").cast("long")).alias("chars"))
