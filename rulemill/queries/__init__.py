@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import convergence, documents, graphs, knowledge, predicates, relational, rules, texts
+from . import audit, convergence, documents, graphs, knowledge, predicates, relational, rules, texts
 from .registry import QUERIES, SQL
 
 
@@ -14,4 +14,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-_ = (convergence, documents, graphs, knowledge, predicates, relational, rules, texts)
+_ = (audit, convergence, documents, graphs, knowledge, predicates, relational, rules, texts)
