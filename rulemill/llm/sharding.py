@@ -4,8 +4,8 @@ Groups of one size are interchangeable, so the driver packs sizes with their num
 12 significant bits, rounded up, so there are some 60,000 of them at most at any size of the input, and a bin holds at most
 1/2,048 less than it is counted. By falling size, groups enter the tightest bin that has room, found through a balanced
 (AVL) tree; the least capacity that needs no more than the wanted shards is found by bisection. Groups above an even
-share of what is left have a shard of their own. Dealing to the least loaded bin replaces best fit where that gives
-nearer loads. A group takes its shard by its rank among the groups of its size; ranks are counted in cells of
+share of what is left have a shard of their own. Where best fit leaves shards empty (few groups of like sizes), each takes half of
+the fullest shard. A group takes its shard by its rank among the groups of its size; ranks are counted in cells of
 (size, salt), and groups with many rows meet their rows by a broadcast of bounded size.
 
 Nulls: a null text has no bytes and belongs with empty texts; a null doc_id is kept. Very long texts are groups like
@@ -15,7 +15,6 @@ names, are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 
 from pyspark.sql import DataFrame, Window
@@ -133,16 +132,6 @@ def best_fit_decreasing(items: list[tuple[int, object]], capacity: int, most: in
     return placed
 
 
-def least_loaded(items: list[tuple[int, object]], bins: int) -> dict:
-    """Item -> bin: each item, by falling size, into the bin with the least load."""
-    loads, placed = [(0, b) for b in range(bins)], {}
-    for size, name in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        load, b = loads[0]
-        placed[name] = b
-        heapq.heapreplace(loads, (load + size, b))
-    return placed
-
-
 def alone(sizes: list[int], bins: int, total: int) -> int:
     """How many of the largest sizes are above an even share of what is left of ``total`` by the larger ones: each needs a bin of its own."""
     n = 0
@@ -155,20 +144,34 @@ def alone(sizes: list[int], bins: int, total: int) -> int:
 
 def even_bins(items: list[tuple[int, object]], bins: int) -> dict:
     """Item -> bin. Items above an even share of what is left have a bin each. The others are packed by best fit decreasing at the
-    least capacity, to 1/20000 of an even share, that needs no more than the bins left, or evenly where that is nearer to equal loads."""
+    least capacity, to 1/20000 of an even share, that needs no more than the bins left."""
     order = sorted(items, key=lambda x: (-x[0], str(x[1])))
     n = alone([x[0] for x in items], bins, sum(x[0] for x in items))
-    rest, left = order[n:], bins - n
-    size = {name: s for s, name in rest}
+    found = _least_capacity(order[n:], bins - n)
+    if found and max(found.values()) + 1 < bins - n:
+        held, of = [Counter() for _ in range(max(found.values()) + 1)], dict((name, s) for s, name in order)
+        for name, b in found.items():
+            held[b][of[name]] += 1
+        free = {s: iter([b for b, sizes in enumerate(levelled(held, bins - n)) for _ in range(sizes[s])]) for s in set(of.values())}
+        found = {name: next(free[of[name]]) for name in found}
+    return {name: i for i, (_, name) in enumerate(order[:n])} | {name: n + b for name, b in found.items()}
 
-    def unevenness(placed):
-        loads = Counter()
-        for name, b in placed.items():
-            loads[b] += size[name]
-        return max(loads.values(), default=0), sum(x * x for x in loads.values())
 
-    found = min(_least_capacity(rest, left), least_loaded(rest, left), key=unevenness)
-    return {name: i for i, (_, name) in enumerate(order[:n])} | {name: n + b for name, b in found.items()}
+def levelled(held: list[Counter], bins: int) -> list[Counter]:
+    """Bins that best fit left empty each take half of the fullest bin of two groups or more. held: per bin the number of groups
+    of a size."""
+    load = lambda sizes: sum(s * k for s, k in sizes.items())
+    while len(held) < bins and (full := [b for b, sizes in enumerate(held) if sum(sizes.values()) > 1]):
+        top = max(full, key=lambda b: (load(held[b]), -b))
+        keep, give = Counter(), Counter()
+        for size, k in sorted(held[top].items(), reverse=True):
+            keep[size] += k // 2
+            give[size] += k // 2
+            if k % 2:
+                (keep if load(keep) <= load(give) else give)[size] += 1
+        held[top] = +keep
+        held.append(+give)
+    return held
 
 
 def _least_capacity(items: list[tuple[int, object]], bins: int) -> dict:
@@ -222,21 +225,6 @@ def best_fit_classes(classes: Classes, capacity: int, most: int | None = None) -
     return placed
 
 
-def least_loaded_classes(classes: Classes, bins: int) -> Placed:
-    """As many groups of a size to each bin, the rest one by one to the least loaded."""
-    loads, placed = [(0, b) for b in range(bins)], []
-    for size, count in classes:
-        each = count // bins
-        runs = {b: each for b in range(bins)} if each else {}
-        loads = [(load + each * size, b) for load, b in loads]  # still a heap
-        for _ in range(count % bins):
-            load, b = loads[0]
-            runs[b] = runs.get(b, 0) + 1
-            heapq.heapreplace(loads, (load + size, b))
-        placed.append(sorted(runs.items()))
-    return placed
-
-
 def even_classes(classes: Classes, bins: int) -> Placed:
     """``even_bins`` for (size, number of groups), largest first."""
     total = sum(s * k for s, k in classes)
@@ -249,20 +237,20 @@ def even_classes(classes: Classes, bins: int) -> Placed:
         first -= k
         rest.append((size, count - k))
     left, packed = bins - n, [c for c in rest if c[1]]
-
-    def unevenness(placed):
-        loads = Counter()
-        for (size, _), runs in zip(packed, placed):
-            for b, k in runs:
-                loads[b] += size * k
-        return max(loads.values(), default=0), sum(x * x for x in loads.values())
-
     whole = sum(s * k for s, k in packed)
     fitted = least_capacity(whole, packed[0][0] if packed else 1, left, lambda capacity: best_fit_classes(packed, capacity, left))
-    shared = iter(min(fitted, least_loaded_classes(packed, left), key=unevenness))
+    used = 1 + max((b for runs in fitted for b, _ in runs), default=-1)
+    if used < left:
+        held = [Counter() for _ in range(used)]
+        for (size, _), runs in zip(packed, fitted):
+            for b, k in runs:
+                held[b][size] += k
+        held = levelled(held, left)
+        fitted = [[(b, sizes[size]) for b, sizes in enumerate(held) if sizes[size]] for size, _ in packed]
+    fitted = iter(fitted)
     out, at = [], 0
     for (_, count), k in zip(rest, own):
-        out.append([(at + i, 1) for i in range(k)] + ([(n + b, m) for b, m in next(shared)] if count else []))
+        out.append([(at + i, 1) for i in range(k)] + ([(n + b, m) for b, m in next(fitted)] if count else []))
         at += k
     return out
 
