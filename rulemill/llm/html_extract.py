@@ -65,6 +65,13 @@ LABELLED = """
     28+ 60+ 12+ 40+ 2+
     6t+ 90+ 70+ 1+ 55+ 9+
     4at+ 50a+ 18aw+ 21aw+ 60a+ 12aw 70a+ 17aw+ 24aw+
+    5at+ 60a+ 2ab:100 2ab:100 60a+ 3ab:100 45a+
+    60a+ 1ab 1ab:100 60a+ 2ab 2ab:100 1ab:100 7a+
+    70a+ 2ab:100 65a+ 1ab:100 5a+ 2ab:100 1a+
+    4at+ 80a+ 12ab:100 80a+ 30ab:90 90a+ 8ab:50 30a+
+    3at+ 6a+ 4ab:100 5a+ 9ab:100 4a+ 20ab:60 3a+
+    90a+ 5ab:100 6ab:100 4ab:100 5ab:100 3ab:100
+    2ab:100 1ab:100 3at+ 40a+ 3a:100+ 45a+ 3ab:100 50a+
 """
 DEPTH, LEAST = 9, 2
 

@@ -147,3 +147,16 @@ def test_missing_end_tags():
     assert main_text(page % "<script>'<p>gone</p>'") == a
     assert main_text(page % "<select><option>gone</option><option>gone") == f"{a}\n{b}"
     main_text("<button>" * 20000), main_text("<object><p>" * 20000), main_text("<svg>" * 9000 + "</svg>" * 9000)
+
+
+def test_boilerplate_inside_articles():
+    """Menus, forms, asides and footers go whatever stands in them and beside them."""
+    import itertools
+
+    from rulemill.llm.html_extract import main_text
+
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    inner = ["<a href=x>{}</a>", "<p>{}</p>", "<p><a>{}</a></p>", "<label>{}</label><input><button>Go now</button>", "<ul><li><a>{}</a></li><li><a>Next</a></li></ul>"]
+    for element, before, after, n, what in itertools.product("nav form aside footer menu header".split(), (1, 20, 200), (1, 20, 200), (1, 5, 40), inner):
+        page = f"<body><article><h1>Title</h1><p>{words(before, 'a')}</p><{element}>{what.format(words(n, 'bad'))}</{element}><p>{words(after, 'z')}</p></article></body>"
+        assert main_text(page) == f"Title\n{words(before, 'a')}\n{words(after, 'z')}", page
