@@ -17,7 +17,7 @@ def cosine(a, b):
     return float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
 
 
-@pytest.mark.parametrize("least", [0.95, 0.8, 0.2, -0.5])
+@pytest.mark.parametrize("least", [0.8, -0.5])
 def test_all_pairs(spark, least):
     vectors = clustered(150, 6, 3)
     odd = [None, [0.0] * 6, [float("nan")] * 6, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("inf")] + [1.0] * 5]
