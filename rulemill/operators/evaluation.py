@@ -36,6 +36,14 @@ def firing(statuses: DataFrame, lint: str = "lint", status: str = "status") -> D
     return out.withColumn("error_frac", share).withColumn("suspect", F.coalesce(share >= OVER_STRICT, F.lit(False)))
 
 
+def firing_histogram(rates: DataFrame, width: float = 0.1) -> DataFrame:
+    """(bucket, lints, suspects): how many lints fire in a share of the records to which they apply, from bucket * width on; the
+    last bucket holds its upper bound. Lints that apply to none are in bucket -1. rates: see ``firing``."""
+    last = round(1 / width) - 1
+    bucket = F.when(F.col("error_frac").isNull(), -1).otherwise(F.least(F.floor(F.col("error_frac") / width + 1e-9), F.lit(last))).cast("int")
+    return rates.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("lints"), F.count_if("suspect").alias("suspects"))
+
+
 def triaged(findings: DataFrame, lints: DataFrame, upstream: DataFrame | None = None) -> DataFrame:
     """REAL where another linter agrees, SPURIOUS where the lint is suspect and none does, else UNCERTAIN. findings: cert, lint."""
     out = findings.join(F.broadcast(lints.select("lint", "suspect")), "lint", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, certificates, convergence, documents, graphs, knowledge, predicates, relational, rules, texts
+from . import audit, certificates, convergence, documents, graphs, knowledge, predicates, relational, rulebook, rules, streams, texts
 from .registry import QUERIES, SQL
 
 
@@ -14,4 +14,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-_ = (audit, certificates, convergence, documents, graphs, knowledge, predicates, relational, rules, texts)
+_ = (audit, certificates, convergence, documents, graphs, knowledge, predicates, relational, rulebook, rules, streams, texts)
