@@ -14,16 +14,18 @@ REPEAT_WITHIN = 10
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", heading: str = HEADING) -> DataFrame:
-    """(key, section_no, section_id, title, text): lines under the last heading; lines before any have section 0. The
-    lines of one document are folded in its row, so nothing is shuffled."""
-    start = F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("title"), F.array().cast("array<string>").alias("lines")))
-    def step(acc, line):
-        last = F.element_at(acc, -1)
-        new = F.struct(F.regexp_extract(line, heading, 1).alias("id"), F.trim(F.regexp_extract(line, heading, 2)).alias("title"), F.array().cast("array<string>").alias("lines"))
-        more = F.struct(last["id"].alias("id"), last["title"].alias("title"), F.concat(last["lines"], F.array(line)).alias("lines"))
-        return F.when(line.rlike(heading), F.concat(acc, F.array(new))).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(more)))
-    parts = F.aggregate(F.split(F.col(text), "\n"), start, step)
-    return docs.select(key, F.posexplode(parts).alias("section_no", "s")).select(key, "section_no", F.col("s.id").alias("section_id"), F.col("s.title").alias("title"), F.trim(F.array_join("s.lines", "\n")).alias("text"))
+    """(key, section_no, section_id, title, text): lines under the last heading; lines before any have section 0. A mark is set
+    before each heading and the joined lines are split at the marks (the control character U+0001 is dropped from texts), so
+    nothing is shuffled and a text is read once."""
+    lines = F.split(F.translate(F.col(text), "\x01", ""), "\n")
+    marked = F.array_join(F.transform(lines, lambda s: F.when(s.rlike(heading), F.concat(F.lit("\x01"), s)).otherwise(F.concat(F.lit("\n"), s))), "")
+
+    def section(part, i):
+        head = F.when(i == 0, "").otherwise(F.substring_index(part, "\n", 1))
+        body = F.substr(part, F.length(head) + 2)
+        return F.struct(F.regexp_extract(head, heading, 1).alias("id"), F.trim(F.regexp_extract(head, heading, 2)).alias("title"), F.trim(body).alias("text"))
+
+    return docs.select(key, F.posexplode(F.transform(F.split(marked, "\x01"), section)).alias("section_no", "s")).select(key, "section_no", F.col("s.id").alias("section_id"), F.col("s.title").alias("title"), F.col("s.text").alias("text"))
 
 
 def sentences(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

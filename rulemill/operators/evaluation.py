@@ -46,7 +46,7 @@ def firing_histogram(rates: DataFrame, width: float = 0.1) -> DataFrame:
 
 def triaged(findings: DataFrame, lints: DataFrame, upstream: DataFrame | None = None) -> DataFrame:
     """REAL where another linter agrees, SPURIOUS where the lint is suspect and none does, else UNCERTAIN. findings: cert, lint."""
-    out = findings.join(F.broadcast(lints.select("lint", "suspect")), "lint", "left")
+    out = findings.join(lints.select("lint", "suspect"), "lint", "left")
     if upstream is not None:
         out = out.join(upstream.select("cert", "lint", F.lit(True).alias("agreed")).distinct(), ["cert", "lint"], "left")
     else:

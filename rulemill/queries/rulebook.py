@@ -43,15 +43,15 @@ def lint_observable(spark, sf_dir):
 
 @query("""
     with r as (select o_orderkey as id, case o_orderkey % 3 when 0 then 'RFC' when 1 then 'CABF-BR' else 'ETSI' end as f, (o_orderkey % 4 + 1) || case when o_orderkey % 5 > 0 then '.' || (o_orderkey % 5) else '' end as s from orders),
-    l as (select s_name as n, case when s_suppkey % 2 = 0 then 'RFC' else 'CABF' end as f, (s_suppkey % 3 + 1) || case when s_suppkey % 4 > 0 then '.' || (s_suppkey % 4) || '.7' else '' end as s from supplier),
+    l as (select n_name as n, case when n_nationkey % 2 = 0 then 'RFC' else 'CABF' end as f, (n_nationkey % 3 + 1) || case when n_nationkey % 4 > 0 then '.' || (n_nationkey % 4) || '.7' else '' end as s from nation),
     p as (select r.id, l.n from r join l on (r.f = 'RFC' and l.f = 'RFC' and (r.s = l.s or starts_with(r.s, l.s || '.') or starts_with(l.s, r.s || '.'))) or r.f = 'CABF-BR')
     select id as rule_id, count(*) as lints, min(n) as first from p group by 1""")
 def lint_candidates(spark, sf_dir):
-    """Lints that may cover a rule, by source and section."""
-    i, s = F.col("o_orderkey"), F.col("s_suppkey")
+    """Lints (nations stand for them) that may cover a rule, by source and section."""
+    i, s = F.col("o_orderkey"), F.col("n_nationkey")
     dotted = lambda a, b, tail="": F.concat(a.cast("string"), F.when(b > 0, F.concat(F.lit("."), b.cast("string"), F.lit(tail))).otherwise(""))
     rules = read(spark, sf_dir, "orders").select(i.alias("id"), F.when(i % 3 == 0, "RFC").when(i % 3 == 1, "CABF-BR").otherwise("ETSI").alias("source"), dotted(i % 4 + 1, i % 5).alias("section"))
-    lints = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("lint_name"), F.when(s % 2 == 0, "RFC").otherwise("CABF").alias("source"), dotted(s % 3 + 1, s % 4, ".7").alias("section"))
+    lints = read(spark, sf_dir, "nation").select(F.col("n_name").alias("lint_name"), F.when(s % 2 == 0, "RFC").otherwise("CABF").alias("source"), dotted(s % 3 + 1, s % 4, ".7").alias("section"))
     return lintability.coverage_candidates(rules, lints).groupBy("rule_id").agg(F.count("*").alias("lints"), F.min("lint_name").alias("first"))
 
 
@@ -71,16 +71,6 @@ def text_context(spark, sf_dir):
     return c.select("conv_id", "turn", F.sha2("context", 256).alias("context_sha256"))
 
 
-@query("""
-    with recursive t as (select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) as n from (select distinct conv_id, turn, role from conversations)),
-    k as (select conv_id, role, n, turn, turn as last, true as kept from t where n = 1 union all
-      select t.conv_id, t.role, t.n, t.turn, case when t.turn - k.last > 2 then t.turn else k.last end, t.turn - k.last > 2 from k join t on t.conv_id = k.conv_id and t.role = k.role and t.n = k.n + 1)
-    select c.conv_id, c.turn, c.role from conversations c join k on k.conv_id = c.conv_id and k.turn = c.turn and k.role = c.role where k.kept""")
-def dedupe_turns(spark, sf_dir):
-    """Repeats of a role within two turns of the last kept one go."""
-    return discovery.positional_dedupe(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", "role", within=2).select("conv_id", "turn", "role")
-
-
 @query("""
     select p_partkey, unnest([struct_pack(kind := 'unless', clause := p_name), struct_pack(kind := 'except', clause := p_type), struct_pack(kind := 'other_than', clause := p_brand)], recursive := true) from part""")
 def text_exceptions(spark, sf_dir):

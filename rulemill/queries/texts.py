@@ -42,11 +42,15 @@ def dedupe_hash(spark, sf_dir):
     return d.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query(None)
+@query("""
+    with recursive t as (select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) as n from (select distinct conv_id, turn, role from conversations)),
+    k as (select conv_id, role, n, turn, turn as last, true as kept from t where n = 1 union all
+      select t.conv_id, t.role, t.n, t.turn, case when t.turn - k.last > 2 then t.turn else k.last end, t.turn - k.last > 2 from k join t on t.conv_id = k.conv_id and t.role = k.role and t.n = k.n + 1)
+    select c.conv_id, c.turn, c.role from conversations c join k on k.conv_id = c.conv_id and k.turn = c.turn and k.role = c.role where k.kept""")
 def dedupe_positional(spark, sf_dir):
-    """Repeats of a role within ten turns of the last kept one go."""
+    """Repeats of a role within two turns of the last kept one go."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return discovery.positional_dedupe(c, "conv_id", "turn", "role", within=2)
+    return discovery.positional_dedupe(c, "conv_id", "turn", "role", within=2).select("conv_id", "turn", "role")
 
 
 @query(r"""
