@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens_of
 from ..functions.vectors import cosine, normalised
+from . import documents
 
 #: Weights of the channels of a match and the bands of its score.
 CHANNELS = {"subject": 0.25, "semantic": 0.30, "predicate": 0.20, "keyword": 0.15, "section": 0.10}
@@ -103,14 +104,5 @@ def top_matches(scored: DataFrame, left: str, right: str, k: int) -> DataFrame:
 
 
 def version_edges(docs: DataFrame, least: float = 0.6) -> DataFrame:
-    """(newer_id, older_id): documents (id, source, title, version) of one source whose titles share over ``least`` of
-    their words once version digits are gone, joined on a shared word."""
-    from ..functions.paths import version_vector
-
-    words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("title", r"[0-9.]+", " ")), r"\W+"), lambda w: w != ""))
-    d = docs.select("id", "source", words.alias("w"), version_vector(F.col("version")).alias("v"))
-    e = d.withColumn("word", F.explode("w"))
-    a, b = e.alias("a"), e.alias("b")
-    shared = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.v") > F.col("b.v")))
-    n = shared.groupBy(F.col("a.id").alias("newer_id"), F.col("b.id").alias("older_id")).agg(F.count("*").alias("n"), F.max(F.greatest(F.size("a.w"), F.size("b.w"))).alias("of"))
-    return n.where(F.col("n") / F.col("of") > least).select("newer_id", "older_id")
+    """(newer_id, older_id): documents (id, source, title, version) of one source with similar titles; see ``documents``."""
+    return documents.version_edges(docs, least).select(F.col("source_id").alias("newer_id"), F.col("target_id").alias("older_id"))
