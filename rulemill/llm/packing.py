@@ -2,7 +2,8 @@
 
 A document is its ids and an end id. Every 2,048 ids from its start fill a sequence of their own; the remainders, at
 most 2,047 lengths whatever the corpus, form the histogram. A linear program over patterns of lengths (revised simplex;
-unbounded knapsack by dynamic programming prices new columns) says how often each pattern is used. The uses of patterns
+a knapsack by dynamic programming, bounded by the demands, prices new columns in every round until Farley's bound is near, or rounds hardly lower the sum any more)
+says how often each pattern is used. The uses of patterns
 that fill a sequence (but for ``slack`` ids) are rounded down, then up by their fractions while demands last. What that
 leaves, some pieces a pattern, is priced again by a bounded knapsack over the lengths left, longest first, each pattern
 used as often as the lengths left allow. Lengths that no pattern fills (say, all of 1,500) take the pattern with the
@@ -31,9 +32,12 @@ from .common import released, small_batches, stored, tasks_for
 LENGTH, END_ID = 2048, 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 SLACK = 4  # ids that a pattern may leave empty
-ROUNDS = 300  # simplex steps at most
-GAP = 0.0002  # stop when the bound is as near
-COLUMNS = 8  # columns that one pricing may add
+GAP = 0.0005  # stop when the bound is as near
+CUT_COST = 0.5  # what cutting ids costs, as a share of the sequence that they fill
+COLUMNS = 32  # patterns that one pricing looks at
+PART = 24  # lengths priced at a time between pricings of all
+TAIL = 60  # rounds that lower the sum by less than half of GAP are the last
+BLOCK, FRESH = 64, 1000  # pivots held apart from the inverse, and until it is made anew
 
 
 def byte_characters() -> dict[str, int]:
@@ -102,29 +106,31 @@ def tokenised(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, TOKENS)
 
 
-def knapsack(price: np.ndarray, capacity: int, most: int = 1) -> tuple[float, list[dict[int, int]]]:
-    """The value of the best pattern for one sequence, and up to ``most`` distinct patterns, each the best that holds some
-    length; ``price[n]`` is the value of a piece of length n (0 where none is)."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int32)
-    top = len(price) - 1
-    for c in range(1, capacity + 1):
-        value = price[1 : c + 1] + best[c - 1 :: -1] if c <= top else price[1:] + best[c - 1 : c - top - 1 : -1]
-        i = value.argmax()
-        best[c], last[c] = value[i], i + 1
-    held = np.where(price > 1e-12, price + best[capacity : capacity - top - 1 : -1], 0)
-    patterns = []
-    for n in np.argsort(-held, kind="stable")[: 4 * most].tolist():
-        if held[n] <= 1e-12 or len(patterns) == most:
-            break
-        pattern, c = {n: 1}, capacity - n
-        while c > 0 and best[c] > 1e-12:
-            k = int(last[c])
-            if price[k] > 1e-12:
-                pattern[k] = pattern.get(k, 0) + 1
-            c -= k
-        if pattern not in patterns:
-            patterns.append(pattern)
-    return float(best[capacity]), patterns
+def knapsack(price: np.ndarray, most: dict[int, int], capacity: int):
+    """Values of the best patterns of every capacity, and a function that tells such a pattern. ``price[n]`` is the value of
+    a piece of length n (0: none), of which a pattern holds ``most[n]`` at most; copies are taken in powers of two."""
+    items = []
+    for n in np.flatnonzero(price > 1e-12).tolist():
+        left, times = min(most[n], capacity // n), 1
+        while left > 0:
+            items.append((n, min(times, left)))
+            left, times = left - times, times * 2
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for i, (n, k) in enumerate(items):
+        value, better = best[: -n * k] + price[n] * k, took[i, n * k :]
+        np.greater(value, best[n * k :] + 1e-13, out=better)
+        np.copyto(best[n * k :], value, where=better)
+
+    def pattern(c: int) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for i in range(len(items) - 1, -1, -1):
+            if took[i, c]:
+                n, k = items[i]
+                out[n] = out.get(n, 0) + k
+                c -= n * k
+        return out
+
+    return best, pattern
 
 
 def least_waste(left: dict[int, int], first: int, capacity: int = LENGTH) -> tuple[dict[int, int], int]:
@@ -150,74 +156,158 @@ def least_waste(left: dict[int, int], first: int, capacity: int = LENGTH) -> tup
     return pattern, waste
 
 
-def starting_basis(demand: dict[int, int], capacity: int = LENGTH):
-    """Patterns, their fractional use and the basis inverse to start the simplex from: for the longest length left, the
-    fullest pattern is used until a length is used up. A pattern holds no length used up before, so the basis is triangular."""
-    left, order, columns, use = {n: float(k) for n, k in demand.items()}, [], [], []
+def fullest(demand: dict[int, int], capacity: int = LENGTH) -> list[dict[int, int]]:
+    """Patterns to start with: for the longest length left the fullest one, as often as the lengths left allow."""
+    left, out = dict(demand), []
     while left:
-        pattern, _ = least_waste({n: -int(-k // 1) for n, k in left.items()}, max(left), capacity)
-        times = min(left[n] / k for n, k in pattern.items())
-        out = []
+        pattern, _ = least_waste(left, max(left), capacity)
+        times = min(left[n] // k for n, k in pattern.items())
+        out.append(pattern)
         for n, k in pattern.items():
             left[n] -= k * times
-            if left[n] <= 1e-9 * demand[n]:
+            if not left[n]:
                 del left[n]
-                out.append(n)
-        columns += [pattern, *({n: capacity // n} for n in out[1:])]  # lengths used up at once: a column of their own, unused
-        use += [times] + [0.0] * (len(out) - 1)
-        order += out
-    row = {n: i for i, n in enumerate(order)}
-    basis = np.zeros((len(order), len(order)))
-    for j, pattern in enumerate(columns):
-        for n, k in pattern.items():
-            basis[row[n], j] = k
-    return order, columns, np.array(use), np.linalg.inv(basis)
-
-
-def cutting_stock(demand: dict[int, int], capacity: int = LENGTH, rounds: int = ROUNDS, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
-    """Patterns and their fractional use, by column generation on the master program: least sequences, demands met."""
-    if not demand:
-        return []
-    lengths, patterns, use, inverse = starting_basis(demand, capacity)
-    row, ids = {n: i for i, n in enumerate(lengths)}, sum(n * k for n, k in demand.items())
-    cost, price = np.ones(len(lengths)), np.zeros(max(lengths) + 1)
-    dual = cost @ inverse
-
-    def enter(at, k, pattern) -> bool:
-        """Brings a column into the basis: a pattern, or (None) what is made of a length beyond its demand, at no cost."""
-        own = float(pattern is not None)
-        if dual[at] @ k <= own + 1e-7:  # an earlier column of this round has made it worthless
+    return out
+
+
+class Master:
+    """The linear program: uses of patterns, each costing one sequence, meet every length's demand.
+
+    Documents may be cut, so a document in no pattern costs what its ids fill and ``cut`` times as much again, and a place
+    that no document of its length takes is worth what other ids may fill of it, less ``cut`` times as much. The duals so lie
+    between (1 - cut) and about (1 + cut) times length / capacity, and the first basis is the identity. With ``cut`` 1 neither
+    pays and this is the cutting-stock program itself. Revised simplex; the inverse is kept with up to ``BLOCK`` pivots
+    apart, as a product of low rank, and made anew from its columns every ``FRESH`` pivots. Demands are raised by
+    parts in a million, unlike for each length, against ties. The end is Farley's bound: the demands' value at prices at which
+    no pattern is worth more than one, which the best pattern's value scales the duals to.
+    """
+
+    def __init__(self, demand: dict[int, int], capacity: int = LENGTH, gap: float = GAP, cut: float = CUT_COST):
+        self.demand, self.capacity, self.gap = demand, capacity, gap
+        self.lengths = sorted(demand, reverse=True)
+        self.row = {n: i for i, n in enumerate(self.lengths)}
+        self.size, self.need = np.array(self.lengths, np.int64), np.array([demand[n] for n in self.lengths], float)
+        self.random = np.random.default_rng(len(demand))
+        m, weight = len(self.lengths), self.size / capacity
+        self.goal = self.need * (1 + 1e-6 * self.random.random(m))
+        self.high = weight * (1 + cut * (1 + 0.2 * self.random.random(m)))
+        self.low = weight * (1 - cut)
+        self.columns: list[tuple[dict[int, int], bool, bool]] = [({n: 1}, False, False) for n in self.lengths]  # column, a pattern, generated
+        self.cost, self.use, self.dual, self.inverse = self.high.copy(), self.goal.copy(), self.high.copy(), np.eye(m)
+        self.rows, self.left = [], np.zeros((m, BLOCK))  # the inverse is (1 + left at rows) times the kept one
+        self.bound = float(weight @ self.need)  # at prices by length no pattern is worth more than one
+        self.pivots = self.pricings = 0
+
+    def _applied(self):
+        if self.rows:
+            self.inverse += self.left[:, : len(self.rows)] @ self.inverse[self.rows]
+            self.left[:], self.rows = 0, []
+
+    def _afresh(self):
+        basis = np.zeros((len(self.lengths),) * 2)
+        for j, (column, _, _) in enumerate(self.columns):
+            for n, k in column.items():
+                basis[self.row[n], j] = k
+        self.left[:], self.rows = 0, []
+        self.inverse = np.linalg.inv(basis)
+        self.use, self.dual = np.maximum(self.inverse @ self.goal, 0), self.cost @ self.inverse
+
+    def enter(self, column: dict[int, int], cost: float, pattern: bool = False, generated: bool = False) -> bool:
+        """Brings a column into the basis if that pays."""
+        at, k = np.array([self.row[n] for n in column]), np.array(list(column.values()), float)
+        gain, held = cost - self.dual[at] @ k, len(self.rows)
+        if gain >= -1e-9:  # an earlier column has made it worthless
             return False
-        d = inverse[:, at] @ k
-        up = np.flatnonzero(d > 1e-9)
+        d = self.inverse[:, at] @ k
+        if held:
+            d += self.left[:, :held] @ (self.inverse[np.ix_(self.rows, at)] @ k)
+        up = np.flatnonzero(d > 1e-7)
         if not len(up):
             return False
-        out = up[(use[up] / d[up]).argmin()]
-        step = use[out] / d[out]
-        np.maximum(use - step * d, 0, out=use)
-        use[out] = step
-        pivot, gain = inverse[out] / d[out], own - cost @ d
-        touched, some = np.flatnonzero(np.abs(d) > 1e-12), np.flatnonzero(pivot)
-        inverse[np.ix_(touched, some)] -= np.outer(d[touched], pivot[some])
-        inverse[out] = pivot
-        dual[some] += pivot[some] * gain
-        patterns[out], cost[out] = pattern, own
+        ratio = self.use[up] / d[up]
+        ties = up[ratio <= ratio.min() * (1 + 1e-9) + 1e-9]
+        out = int(ties[d[ties].argmax()])
+        step = self.use[out] / d[out]
+        np.maximum(self.use - step * d, 0, out=self.use)
+        self.use[out] = step
+        own = self.inverse[out] + (self.left[out, :held] @ self.inverse[self.rows] if held else 0)
+        self.dual = self.dual + own * (gain / d[out])
+        turn = -d / d[out]
+        turn[out] = 1 / d[out] - 1
+        if held:
+            self.left[:, :held] += np.outer(turn, self.left[out, :held])
+        if out not in self.rows:
+            self.rows.append(out)
+        self.left[:, self.rows.index(out)] += turn
+        self.columns[out], self.cost[out] = (column, pattern, generated), cost
+        self.pivots += 1
+        if len(self.rows) == BLOCK:
+            self._applied()
+        if self.pivots % FRESH == 0:
+            self._afresh()
         return True
 
-    while rounds > 0 and cost @ use > (1 + gap) * ids / capacity:  # no plan needs fewer sequences than the ids fill
-        low = [i for i in dual.argsort()[:COLUMNS] if dual[i] < -1e-7]
-        moved = sum(enter(np.array([i]), np.array([-1.0]), None) for i in low)
-        if not moved:
-            price[lengths] = np.maximum(dual, 0)
-            value, columns = knapsack(price, capacity, COLUMNS)
-            if value <= 1 + gap:  # Farley's bound: the optimum is at least the present sum divided by value
+    def boxed(self):
+        """Documents in no pattern, and places for other ids, where the duals leave their box."""
+        for by, sign, cost in ((self.dual - self.high, 1, self.high), (self.low - self.dual, -1, -self.low)):
+            for i in np.argsort(-by, kind="stable")[:BLOCK].tolist():
+                if by[i] > 1e-7:
+                    self.enter({self.lengths[i]: sign}, float(cost[i]))
+
+    def price(self, among: np.ndarray, taken: set[int]) -> bool:
+        """Brings in patterns of some lengths (by row), the best that holds each, worth more than one and without a length
+        in common; over all lengths the bound follows."""
+        self.pricings += 1
+        price, sizes = np.zeros(int(self.size[0]) + 1), self.size[among]
+        price[sizes] = np.clip(self.dual, 0, self.high)[among]
+        best, pattern = knapsack(price, self.demand, self.capacity)
+        if len(among) == len(self.lengths):
+            self.bound = max(self.bound, float(price[self.size] @ self.need) / max(float(best[self.capacity]), 1.0))
+        held, found = price[sizes] + best[self.capacity - sizes], False
+        for i in np.argsort(-held, kind="stable")[:COLUMNS].tolist():
+            if held[i] <= 1 + 1e-9:
                 break
-            moved = sum(enter(np.array([row[n] for n in p]), np.array(list(p.values()), float), p) for p in columns)
-            if not moved:
+            n = int(sizes[i])
+            column = pattern(self.capacity - n)
+            column[n] = column.get(n, 0) + 1
+            if column[n] <= self.demand[n] and taken.isdisjoint(column) and self.enter(column, 1.0, True, True):
+                taken.update(column)
+                found = True
+        return found
+
+    def solve(self):
+        """Prices in every round: over all lengths and, in parts drawn anew, over few of them at a time."""
+        m = len(self.lengths)
+        for pattern in fullest(self.demand, self.capacity):
+            self.enter(pattern, 1.0, True)
+        parts, sums = m // PART, []
+        while True:
+            self.boxed()
+            taken: set[int] = set()
+            found = self.price(np.arange(m), taken)
+            sums.append(float(self.cost @ self.use))
+            if sums[-1] <= (1 + self.gap) * self.bound or len(sums) > TAIL and sums[-TAIL] - sums[-1] < self.gap / 2 * self.bound:
                 break
-        rounds -= moved
-        dual = cost @ inverse
-    return [(p, x) for p, x in zip(patterns, use.tolist()) if p]
+            order = self.random.permutation(m)
+            for g in range(parts if parts > 1 else 0):
+                found |= self.price(np.sort(order[g::parts]), taken)
+            if not found and not (self.dual > self.high + 1e-7).any() and not (self.dual < self.low - 1e-7).any():
+                break  # nothing pays any more
+        self._afresh()
+        self.use = np.maximum(self.inverse @ self.need, 0)
+        return self
+
+    def plan(self) -> list[tuple[dict[int, int], float]]:
+        return [(column, x) for (column, pattern, _), x in zip(self.columns, self.use.tolist()) if pattern and x > 1e-9]
+
+    def generated(self) -> list[dict[int, int]]:
+        """The patterns of the plan that pricing has made."""
+        return [column for (column, _, made), x in zip(self.columns, self.use.tolist()) if made and x > 1e-9]
+
+
+def cutting_stock(demand: dict[int, int], capacity: int = LENGTH, gap: float = GAP, cut: float = CUT_COST) -> list[tuple[dict[int, int], float]]:
+    """Patterns and their fractional use, by column generation on the master program."""
+    return Master(demand, capacity, gap, cut).solve().plan() if demand else []
 
 
 def rounded(plan, demand: dict[int, int], capacity: int = LENGTH, slack: int = SLACK) -> list[tuple[dict[int, int], int]]:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 
 from .util import EDGE, docs
@@ -15,7 +16,10 @@ def test_knapsack_and_master():
 
     price = np.zeros(10)
     price[3], price[4] = 0.3, 0.45
-    assert knapsack(price, 10)[1][0] in ({3: 2, 4: 1}, {4: 1, 3: 2}) and abs(knapsack(price, 10)[0] - 1.05) < 1e-9
+    best, pattern = knapsack(price, {3: 9, 4: 9}, 10)
+    assert pattern(10) == {3: 2, 4: 1} and abs(best[10] - 1.05) < 1e-9
+    best, pattern = knapsack(price, {3: 1, 4: 9}, 10)
+    assert pattern(10) == {4: 2} and abs(best[10] - 0.9) < 1e-9
     demand = {6: 100, 4: 100, 5: 60, 3: 10}
     plan = cutting_stock(demand, 10)
     assert abs(sum(x for _, x in plan) - 133) < 1.5
@@ -31,18 +35,34 @@ def test_knapsack_and_master():
 
 def test_column_generation_improves_its_start():
     """Largest first is far from the least number of sequences here; the optimum fills every sequence."""
-    from rulemill.llm.packing import cutting_stock, starting_basis
+    from rulemill.llm.packing import Master, fullest
 
     for demand, capacity in (({6: 60, 5: 60, 4: 60, 3: 40, 2: 20}, 10), ({49: 40, 34: 40, 26: 80, 25: 80, 17: 120, 8: 10}, 100), ({51: 100, 27: 100, 26: 100, 23: 200, 25: 200}, 100)):
-        order, columns, use, inverse = starting_basis(demand, capacity)
-        assert np.allclose(inverse @ [demand[n] for n in order], use) and (use >= 0).all()
-        plan = cutting_stock(demand, capacity, gap=1e-9)
+        assert all(sum(n * k for n, k in p.items()) <= capacity for p in fullest(demand, capacity))
+        master = Master(demand, capacity, gap=1e-9, cut=1).solve()  # nothing pays to be cut
+        plan = master.plan()
         for n, k in demand.items():
             assert sum(p.get(n, 0) * x for p, x in plan) >= k - 1e-6
         assert all(sum(n * k for n, k in p.items()) <= capacity for p, _ in plan)
         # Farley: no pattern is worth more than 1 at the duals of an optimal plan, so the duals' value is the optimum
-        assert sum(x for _, x in plan) <= use.sum() + 1e-9
         assert sum(x for _, x in plan) <= brute_optimum(demand, capacity) + 1e-6
+        assert master.bound <= brute_optimum(demand, capacity) + 1e-6
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_pricing_on_the_given_tables(spark, scale):
+    """Knapsacks are priced, what they make is used, duals stay small and the plan is within the gap of the bound."""
+    from pyspark.sql import functions as F
+
+    from rulemill.llm.packing import GAP, LENGTH, Layout, Master, tokenised
+
+    rows = tokenised(spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet").repartition(16), PATH).where("rem > 0")
+    demand = {r.rem: r.n for r in rows.groupBy("rem").agg(F.count("*").alias("n")).collect()}
+    master = Master(demand).solve()
+    assert master.pricings > 50 and len(master.generated()) > 50 and abs(master.dual).max() < 10
+    assert master.cost @ master.use <= (1 + GAP) * master.bound + 1e-3
+    plan, ids = Layout(demand), sum(n * k for n, k in demand.items())
+    assert plan.sequences <= ids // LENGTH + 11 and plan.by_patterns >= 0.99 * ids
 
 
 def brute_optimum(demand, capacity):
