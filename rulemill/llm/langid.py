@@ -1,7 +1,7 @@
 """Language identification: nearest centroid over normalised TF-IDF vectors of letter n-grams.
 
 Document frequencies are counted over all training documents. Several centroids per language come from spherical
-k-means on a bounded sample (``SAMPLE`` documents a language, chosen by hash of doc_id). A document takes the language
+k-means on a bounded sample (``SAMPLE`` documents a language at most, the least by a hash of doc_id and text). A document takes the language
 of the centroid with the largest cosine, which is its score; it is rejected when that cosine lies below what training
 documents of that language and length, held back from their centroids, reach but for few, or when nothing can be said
 (null, or no letter). Lengths are powers of two of letters; beginnings of the documents stand for short texts, and the
@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LETTER, class_table
@@ -27,6 +27,8 @@ DIMENSIONS = 4096
 ORDERS = (1, 2, 3)
 CENTROIDS = 4  # a language
 SAMPLE = 500  # labelled documents a language for clustering and for the rejection bounds
+PARTS = 64  # of a language, ranked each before they meet
+DRAWN = 200_000  # drawn keys, of some 40 bytes, that are broadcast; more are joined by shuffling
 BLOCK = 1 << 18  # code points vectorised at once, a longer text alone
 ROWS = 256  # rows taken out of an Arrow batch at once
 GROUPS = 16  # partial sums of document frequencies that reach the driver
@@ -169,6 +171,23 @@ def fold():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
+def drawn(known: DataFrame, sample: int, bounded: bool = False) -> DataFrame:
+    """lang and text of ``sample`` rows a language at most: the least by a hash of doc_id and text, first in each of ``PARTS``
+    parts, so that no language meets in one task. Equal rows, and those without doc_id, are ranked like others. ``bounded``:
+    the caller knows that the drawn keys are few enough to broadcast."""
+    keys = known.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.monotonically_increasing_id().alias("uid"))
+    keys = keys.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(PARTS)))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "uid")) <= sample
+    for by in (("lang", "part"), ("lang",)):
+        keys = keys.withColumn("first", first(*by)).where("first").drop("first")
+    # how many rows of a hash are drawn; equal rows are alike, so any of them will do
+    kept = keys.groupBy("lang", "h").agg(F.count("*").alias("n")).select(F.col("lang").alias("own"), F.col("h").alias("key"), "n")
+    kept = F.broadcast(kept) if bounded else kept
+    rows = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).join(kept, F.expr("lang = own and h = key"))
+    rows = rows.groupBy("own", "key", "n").agg(F.first("text").alias("text"))
+    return rows.select(F.col("own").alias("lang"), "text", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("lang", "text")
+
+
 def fit(docs: DataFrame, train=None, sample: int = SAMPLE, centroids: int = CENTROIDS):
     """(languages, idf, centroids, owner of each centroid, least accepted cosine by language and length), or None if there is nothing to learn."""
     small_batches(docs.sparkSession)
@@ -180,13 +199,11 @@ def fit(docs: DataFrame, train=None, sample: int = SAMPLE, centroids: int = CENT
     parts = known.select("text").mapInArrow(_frequencies, "n long, df binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g")).applyInArrow(_summed, "n long, df binary").collect()
     df, n = sum(np.frombuffer(r.df, np.int64) for r in parts), sum(r.n for r in parts)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    share = F.create_map(*[v for k, m in sizes.items() for v in (F.lit(k), F.lit(min(1.0, sample / m)))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    rows = known.where(draw).select("lang", "text").mapInArrow(_vectors, "lang string, letters long, x binary, begin string").collect()
+    rows = drawn(known, sample, len(sizes) * sample <= DRAWN).mapInArrow(_vectors, "lang string, letters long, x binary, begin string").collect()
     languages = sorted(sizes)
     cents, owner, lows = [], [], np.full((len(languages), LENGTHS), np.nan)
     for i, lang in enumerate(languages):
-        own = [r for r in rows if r.lang == lang and r.letters > 0]
+        own = sorted((r for r in rows if r.lang == lang and r.letters > 0), key=lambda r: (r.begin, r.x))  # whatever order they came in
         if not own:
             continue
         x = weighted(np.stack([np.frombuffer(r.x, np.float32) for r in own]), idf)

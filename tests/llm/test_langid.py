@@ -79,3 +79,19 @@ def test_bounds():
     b = bounds({3: [0.2] * 100, 7: [0.4] * 100, 9: [0.8] * 3})
     assert len(b) == LENGTHS and np.allclose(b[:7], 0.2 * MARGIN) and np.allclose(b[7:], b[7]) and b[7] >= 0.4 * MARGIN
     assert np.isnan(bounds({})).all() and np.isfinite(bounds({5: [0.5]})).all()
+
+
+def test_sample_is_a_bound(spark):
+    """Rows without doc_id, repeated rows and copies do not raise the number of rows drawn."""
+    from pyspark.sql import functions as F
+
+    from rulemill.llm.langid import drawn
+
+    made = docs(spark, [f"text {i}" for i in range(300)] + ["a copy"] * 200 + ["few"] * 7, ["en"] * 300 + ["de"] * 200 + ["fr"] * 7)
+    lost = made.withColumn("doc_id", F.lit(None).cast("long"))
+    for rows in (made, lost, made.union(made), made.limit(0)):
+        for bounded in (False, True):
+            got = {r.lang: r["count"] for r in drawn(rows.select("doc_id", "text", "lang"), 50, bounded).groupBy("lang").count().collect()}
+            n = rows.count()
+            assert got == ({"en": 50, "de": 50, "fr": min(50, 7 * (n // 507))} if n else {})
+    assert drawn(made, 50).where("lang = 'en'").distinct().count() == 50
