@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_of
@@ -84,10 +84,11 @@ def similar_pairs(rows: DataFrame, ident: str, block: str, vector: str, least: f
     return a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & (score >= least)).select(F.col(f"a.{ident}").alias("left_id"), F.col(f"b.{ident}").alias("right_id"), score.alias("score"))
 
 
-def channel_score(columns: dict[str, str] | None = None):
-    """Weighted sum of channel columns; a missing channel counts nothing. The semantic channel is a cosine in [-1, 1]."""
-    c = {k: k for k in CHANNELS} | (columns or {})
-    value = lambda k: (F.coalesce(F.col(c[k]), F.lit(-1.0)) + 1) / 2 if k == "semantic" else F.coalesce(F.col(c[k]), F.lit(0.0))
+def channel_score(columns: dict[str, str | Column] | None = None):
+    """Weighted sum of channels, given as columns or their names; a missing channel counts nothing. The semantic channel is a
+    cosine in [-1, 1]."""
+    c = {k: F.col(v) if isinstance(v, str) else v for k, v in ({k: k for k in CHANNELS} | (columns or {})).items()}
+    value = lambda k: (F.coalesce(c[k], F.lit(-1.0)) + 1) / 2 if k == "semantic" else F.coalesce(c[k], F.lit(0.0))
     return sum((value(k) * w for k, w in CHANNELS.items()), F.lit(0.0))
 
 
@@ -103,6 +104,38 @@ def top_matches(scored: DataFrame, left: str, right: str, k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def nearest_matches(left: DataFrame, right: DataFrame, value: str, classes: list[str], k: int, score, step: float) -> DataFrame:
+    """(id, class columns, other, score): of each class that has rows on the right, for every left row, k rows that hold the k
+    best of the class, ties by id. left: id, value and the leading ``classes`` that it has itself; right: id, value, classes.
+
+    ``score(own value, other value)`` may use the class columns too and must fall or stay as values part; where it stays (a
+    null or NaN on a side, a cap) the least ids are the best. Values that are apart by ``step`` and more beyond each other must
+    differ in score, if they do at all, so of the right rows only the nearest cells of that width matter on both sides: k + 1
+    each, with the k least ids of a value. They lie side by side in the order of cells, so pairs are never rows."""
+    shared = [c for c in classes if c in left.columns]
+    usable = lambda c: c.isNotNull() & ~F.isnan(c)
+    v = F.col(value).cast("double")
+    cell = F.when(F.abs(v) < 1e15, F.floor(v / step).cast("double")).otherwise(v)
+    entry = F.struct(F.col("id"), v.alias("v"))
+    of_class = lambda *by: F.row_number().over(Window.partitionBy(*classes, *by).orderBy("id"))
+    least = right.withColumn("_n", of_class()).where(F.col("_n") <= k).groupBy(*classes).agg(F.collect_list(entry).alias("_least"))
+    near = right.where(usable(v)).withColumn("_n", of_class(value)).where(F.col("_n") <= k).groupBy(*classes, cell.alias("_cell")).agg(F.collect_list(entry).alias("_rows"))
+    around = F.flatten(F.collect_list("_rows").over(Window.partitionBy(*classes).orderBy("_cell").rowsBetween(-k - 1, k + 1)))
+    kind = right.schema["id"].dataType.simpleString()
+    none = F.array().cast(f"array<struct<id:{kind},v:double>>")
+    floor = least.select(*classes, F.lit(float("-inf")).alias("_cell"), none.alias("_rows"))  # so that every left row has a cell below
+    cells = near.unionByName(floor).withColumn("_around", around).select(*classes, "_cell", "_around", F.lit(0).alias("_side"))
+    asked = left.join(least, [left[c].eqNullSafe(least[c]) for c in shared]).select(left["id"].alias("_id"), v.alias("_v"), *[least[c] for c in classes], "_least")
+    asked = asked.withColumn("_cell", F.when(usable(F.col("_v")), F.when(F.abs("_v") < 1e15, F.floor(F.col("_v") / step).cast("double")).otherwise(F.col("_v"))).otherwise(float("-inf")))
+    both = cells.unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    below = Window.partitionBy(*classes).orderBy("_cell", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_around", F.last("_around", True).over(below)).where("_side = 1")
+    met = met.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_id")  # few bytes, yet much to score
+    scored = F.transform(F.array_distinct(F.concat("_around", "_least")), lambda x: F.struct((-score(F.col("_v"), x["v"])).alias("s"), x["id"].alias("id")))
+    best = met.select("_id", *classes, F.explode(F.slice(F.sort_array(scored), 1, k)).alias("b"))
+    return best.select(F.col("_id").alias("id"), *classes, F.col("b.id").alias("other"), (-F.col("b.s")).alias("score"))
+
+
 def version_edges(docs: DataFrame, least: float = 0.6) -> DataFrame:
     """(newer_id, older_id): documents (id, source, title, version) of one source with similar titles; see ``documents``."""
     return documents.version_edges(docs, least).select(F.col("source_id").alias("newer_id"), F.col("target_id").alias("older_id"))
