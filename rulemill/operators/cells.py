@@ -12,6 +12,8 @@ Null and zero vectors, and vectors with null or non-finite components, have no c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 PIVOTS = 1024  # at most
-PIECE = 4096  # rows of a piece
+PIECE = 16384  # rows of a piece
+STEP = 256  # rows of a piece that are looked at together
 SLACK = 1e-9
 
 
@@ -32,7 +35,9 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def unit(m: np.ndarray) -> np.ndarray:
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    """Rows of unit length; a row of zeros stays."""
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
 
 
 def usable(vector):
@@ -55,10 +60,11 @@ def membership(rows: DataFrame, ident: str, vector: str) -> DataFrame:
     return own.join(lead, "_v", "left").select(F.col("_id").alias(ident), F.coalesce("_lead", "_id").alias("class"))
 
 
-def pivots_of(rows: DataFrame, most: int = PIVOTS) -> np.ndarray:
-    """A sample by hash, the same for the same rows: the square root of their number, ``most`` at most."""
+def pivots_of(rows: DataFrame, most: int = PIVOTS, size: int | None = None) -> np.ndarray:
+    """A sample by hash, the same for the same rows: the square root of their number, ``most`` at most, and with a ``size`` no
+    more than give cells of so many rows: where nothing can be pruned a row is sent to every cell."""
     n = rows.count()
-    k = min(most, int(np.sqrt(n)) + 1, n)
+    k = min(most, int(np.sqrt(n)) + 1, n, -(-n // size) if size else n)
     return unit(np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(k).select("v").collect()], float).reshape(k, -1)) if k else np.zeros((0, 0))
 
 
@@ -88,37 +94,65 @@ def _visits(pivots: np.ndarray, radius: np.ndarray, reach: float):
     """A row for the own cell and one for every cell that may hold a neighbour and has a lower number."""
 
     def run(batches):
-        for batch in batches:
-            v = unit(matrix(batch.column("v")))
-            d = _distances(v, pivots)
-            own = batch.column("cell").to_numpy()
-            near = (d <= d[np.arange(len(d)), own][:, None] + 2 * reach + SLACK) & (d <= radius[None, :] + reach + SLACK) & (np.arange(len(pivots))[None, :] < own[:, None])
-            near[np.arange(len(d)), own] = True
-            at, cell = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(cell, pa.int32()), pa.array(d[at, cell]), pa.array(cell == own[at])], ["id", "v", "cell", "d", "home"]
-            )
+        for whole in batches:
+            for batch in (whole.slice(at, STEP) for at in range(0, whole.num_rows, STEP)):  # a row may visit every cell
+                v = unit(matrix(batch.column("v")))
+                d = _distances(v, pivots)
+                own = batch.column("cell").to_numpy()
+                near = (d <= d[np.arange(len(d)), own][:, None] + 2 * reach + SLACK) & (d <= radius[None, :] + reach + SLACK) & (np.arange(len(pivots))[None, :] < own[:, None])
+                near[np.arange(len(d)), own] = True
+                at, cell = np.nonzero(near)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(v[at].ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), vectors, pa.array(cell, pa.int32()), pa.array(d[at, cell]), pa.array(cell == own[at])], ["id", "v", "cell", "d", "home"])
 
     return run
 
 
 def _pairs(least: float, kind):
-    """One pair of pieces: all pairs at or above ``least`` by one matrix product."""
+    """One pair of pieces: all pairs at or above ``least`` by matrix products of ``STEP`` rows, so that no more cosines and
+    pairs are held at once."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
         left, right = rows.filter(pa.compute.equal(rows.column("side"), 0)), rows.filter(pa.compute.equal(rows.column("side"), 1))
         same = bool(rows.column("same")[0].as_py())
         right = left if same else right
         a, b = unit(matrix(left.column("v"))), unit(matrix(right.column("v")))
-        ids = left.column("id").to_numpy(zero_copy_only=False), right.column("id").to_numpy(zero_copy_only=False)
-        cos = a @ b.T if len(a) and len(b) else np.zeros((len(a), len(b)))
-        i, j = np.nonzero(np.triu(cos >= least, 1) if same else cos >= least)
-        x, y = ids[0][i], ids[1][j]
-        return pa.table({"left_id": pa.array(np.minimum(x, y), kind), "right_id": pa.array(np.maximum(x, y), kind), "score": pa.array(cos[i, j])})
+        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
+        del rows, left, right
+        for at in range(0, len(a) if len(b) else 0, STEP):
+            cos = a[at : at + STEP] @ b.T
+            hit = ~(cos < least)  # a NaN is above all
+            i, j = np.nonzero(hit & (np.arange(len(b))[None, :] > np.arange(at, at + len(cos))[:, None]) if same else hit)
+            score, m, n = cos[i, j], x[at + i], y[j]
+            if (m == n).any():
+                i = np.flatnonzero(m != n)
+                score, m, n = score[i], m[i], n[i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, n), kind), pa.array(np.maximum(m, n), kind), pa.array(score)], ["left_id", "right_id", "score"])
 
     return run
 
 
+def pairs_within(rows: DataFrame, block: str, least: float, size: int = PIECE) -> DataFrame:
+    """(left_id, right_id, score): all pairs of a block with a cosine of ``least`` or more. rows: the block, id, v; a vector of
+    zeros gives zeros; a null id, vector or component is in no pair, nor are vectors of two lengths.
+
+    Every block is dealt to pieces of bounded size by hash, and every two pieces are a task of their own: what a task holds is
+    bounded, and a vector is sent once for each piece of its block."""
+    kind = rows.schema["id"].dataType.simpleString()
+    own = rows.where(F.col(block).isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).select(F.col(block).alias("b"), F.size("v").alias("dim"), "id", "v")
+    own = cut(own)
+    parts = own.groupBy("b", "dim").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    own = own.join(parts, ["b", "dim"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    last = F.col("parts") - 1
+    left = own.select("b", "dim", F.col("p").alias("i"), F.explode(F.sequence("p", last)).alias("j"), "id", "v", F.lit(0).alias("side"))
+    right = own.where("p > 0").select("b", "dim", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), F.col("p").alias("j"), "id", "v", F.lit(1).alias("side"))
+    met = left.unionAll(right).withColumn("same", F.col("i") == F.col("j"))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(spread, "b", "dim", "i", "j")  # few bytes, yet much to compute
+    return met.groupBy("b", "dim", "i", "j").applyInArrow(_pairs(least, pa.int64() if kind == "bigint" else None), f"left_id {kind}, right_id {kind}, score double")
+
+
 def pieces_of(rows: DataFrame, by: list[str], size: int = PIECE) -> DataFrame:
     """Adds ``piece``: rows of a cell in order of their distance to the pivot, ``size`` at most to a piece on average, and the
     bounds of the piece's distances. Only cells beyond the size are ordered, by their own histogram of distances."""
@@ -138,7 +172,7 @@ def similar_pairs(rows: DataFrame, ident: str, vector: str, least: float, pivots
     spark = rows.sparkSession
     own = cut(representatives(rows, ident, vector).select("id", "v"))
     kind = own.schema["id"].dataType.simpleString()
-    p = pivots_of(own, pivots)
+    p = pivots_of(own, pivots, size)
     if not len(p):
         return spark.createDataFrame([], f"left_id {kind}, right_id {kind}, score double")
     reach = float(np.sqrt(max(2 - 2 * least, 0)))
@@ -156,7 +190,8 @@ def similar_pairs(rows: DataFrame, ident: str, vector: str, least: float, pivots
     left = seen.where("home").select("cell", F.col("piece").alias("a"), "id", "v").join(tasks, ["cell", "a"]).select("cell", "a", "home", "b", "same", F.lit(0).alias("side"), "id", "v")
     right = seen.select("cell", "home", F.col("piece").alias("b"), "id", "v").join(tasks.where("not same"), ["cell", "home", "b"]).select("cell", "a", "home", "b", "same", F.lit(1).alias("side"), "id", "v")
     kinds = pa.int64() if kind == "bigint" else None
-    return left.unionAll(right).groupBy("cell", "a", "home", "b").applyInArrow(_pairs(least, kinds), f"left_id {kind}, right_id {kind}, score double")
+    met = left.unionAll(right).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", "a", "home", "b")  # few bytes, yet much to compute
+    return met.groupBy("cell", "a", "home", "b").applyInArrow(_pairs(least, kinds), f"left_id {kind}, right_id {kind}, score double")
 
 
 def _farthest(kind):
@@ -165,8 +200,9 @@ def _farthest(kind):
     def run(rows: pa.Table) -> pa.Table:
         left, right = rows.filter(pa.compute.equal(rows.column("side"), 0)), rows.filter(pa.compute.equal(rows.column("side"), 1))
         right = left if rows.column("same")[0].as_py() else right
-        cos = unit(matrix(left.column("v"))) @ unit(matrix(right.column("v"))).T
-        return pa.table({"g": pa.array([rows.column("g")[0].as_py()], kind), "least": pa.array([float(np.clip(cos, -1, 1).min())])})
+        a, b = unit(matrix(left.column("v"))), unit(matrix(right.column("v"))).T
+        low = min(float((a[at : at + STEP] @ b).min()) for at in range(0, len(a), STEP))
+        return pa.table({"g": pa.array([rows.column("g")[0].as_py()], kind), "least": pa.array([float(np.clip(low, -1, 1))])})
 
     return run
 
@@ -188,7 +224,8 @@ def least_similarity(rows: DataFrame, group: str, ident: str, vector: str, pivot
     counts = rows.where(usable(F.col(vector))).groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"))
     own = cut(representatives(rows, ident, vector, [group]).select(F.col(group).alias("g"), "id", "v"))
     kind, g_kind = own.schema["id"].dataType.simpleString(), own.schema["g"].dataType.simpleString()
-    p = pivots_of(own, pivots)
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    p = pivots_of(own, min(pivots, -(-largest // size)))
     result = lambda found: counts.join(found, counts["g"].eqNullSafe(found["k"]), "left").select(counts["g"].alias(group), "n", F.when(F.col("n") > 1, F.coalesce("least", F.lit(1.0))).alias("min_similarity"))
     if not len(p):
         return result(spark.createDataFrame([], f"k {g_kind}, least double"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_of
-from ..functions.vectors import cosine, normalised
-from . import documents
+from ..functions.vectors import cosine
+from . import cells, documents
 
 #: Weights of the channels of a match and the bands of its score.
 CHANNELS = {"subject": 0.25, "semantic": 0.30, "predicate": 0.20, "keyword": 0.15, "section": 0.10}
@@ -76,12 +76,8 @@ def nearest_each(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k
 
 
 def similar_pairs(rows: DataFrame, ident: str, block: str, vector: str, least: float) -> DataFrame:
-    """(left_id, right_id, score) of one block at or above ``least``. Unit vectors are made once; the score stands in the
-    join condition, so pairs below the threshold are never rows."""
-    unit = rows.select(block, ident, normalised(F.col(vector)).alias("v"))
-    a, b = unit.alias("a"), unit.alias("b")
-    score = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col(f"a.{ident}") < F.col(f"b.{ident}")) & (score >= least)).select(F.col(f"a.{ident}").alias("left_id"), F.col(f"b.{ident}").alias("right_id"), score.alias("score"))
+    """(left_id, right_id, score) of one block at or above ``least``, by matrix products of pieces of the block; see ``cells``."""
+    return cells.pairs_within(rows.select(block, F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")), block, least)
 
 
 def channel_score(columns: dict[str, str | Column] | None = None):
