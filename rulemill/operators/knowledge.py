@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import KEYWORDS, keyword_pattern, normalised
 from ..functions.vectors import normalised as unit
+from .storage import cut
 
 #: Comparisons that a condition may state, in order of precedence: what a clause matches, its operator, and the operator of
 #: its opposite. The first group is the field, the second (if any) the value.
@@ -75,13 +76,22 @@ def definition_lookup(terms: DataFrame, definitions: DataFrame, aliases: DataFra
 
 
 def cross_references(sections: DataFrame, terms: DataFrame) -> DataFrame:
-    """(src, dst): sections that use a term and the section that defines it. sections: id, text; terms: term, section. Terms of
-    several words meet a section by their first word and are then looked for whole."""
-    t = terms.select(normalised(F.col("term")).alias("term"), F.col("section").alias("dst")).where("term <> ''").withColumn("word", F.split("term", " ")[0])
-    s = sections.select(F.col("id").alias("src"), F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), F.lit(" ")).alias("plain"))
-    words = s.select("src", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word"))
-    near = words.join(t, "word").where("src <> dst").select("src", "term", "dst").distinct()
-    return near.join(s, "src").where(F.contains("plain", F.concat(F.lit(" "), F.col("term"), F.lit(" ")))).select("src", "dst").distinct()
+    """(src, dst): sections that use a term and the section that defines it. sections: id, text; terms: term, section. A section's
+    runs of words, as long as some term, are looked up whole among the terms, so that no word that many terms share brings
+    sections and terms together, and the texts themselves are not sent."""
+    t = cut(terms.select(normalised(F.col("term")).alias("term"), F.col("section").alias("dst")).where("term <> ''").distinct())  # its true size decides the join
+    lengths = sorted(r.n for r in t.select(F.size(F.split("term", " ")).alias("n")).distinct().collect())
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+    s = sections.where("text is not null").select(F.col("id").alias("src"), words.alias("words"))
+
+    def runs(n):
+        at = F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1)))
+        return F.when(F.size("words") >= n, F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    if not lengths:
+        return s.join(t.where("false"), F.lit(True)).select("src", "dst")
+    used = s.select("src", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("term"))
+    return used.join(t, "term").where("src <> dst").select("src", "dst").distinct()
 
 
 def group_similarity(rows: DataFrame, group: str, vector: str) -> DataFrame:
