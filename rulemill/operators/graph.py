@@ -60,8 +60,8 @@ def budgeted(nodes: DataFrame, edges: DataFrame, start: list, depth: int = 3, mo
     rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("relation")), F.lit(0))
     rank = F.when(rank == 0, len(priority) + 1).otherwise(rank)
     e = e.select("src", "dst", "relation", F.lit(0).alias("way")).union(e.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", F.lit(1).alias("way")))
-    known = nodes.select("node").distinct()
-    wanted = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(start))], f"node {kind}, i int").join(known, "node", "left_semi")
+    known = lambda few: few.join(nodes.select("node").join(few.select("node"), "node", "left_semi").distinct(), "node")  # noqa: E731 - all nodes are read, few are sent
+    wanted = known(spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(start))], f"node {kind}, i int"))
     order = F.row_number().over(Window.orderBy("o")) - 1  # over the budget's rows
     top = lambda df, n: df.orderBy("o").limit(n).select("node", order.alias("place"))
     seen = frontier = cut(top(wanted.select("node", F.col("i").alias("o")), most).withColumn("distance", F.lit(0)))
@@ -70,7 +70,8 @@ def budgeted(nodes: DataFrame, edges: DataFrame, start: list, depth: int = 3, mo
         if held >= most:
             break
         step = e.join(frontier.select(F.col("node").alias("src"), "place"), "src").select(F.col("dst").alias("node"), F.struct("place", rank.alias("rank"), "way", F.col("dst").alias("n")).alias("o"))
-        new = step.groupBy("node").agg(F.min("o").alias("o")).join(seen.select("node"), "node", "left_anti").join(known, "node", "left_semi")
+        new = step.groupBy("node").agg(F.min("o").alias("o")).join(seen.select("node"), "node", "left_anti")
+        new = known(cut(new))
         frontier = cut(top(new, most - held).select("node", (F.col("place") + held).alias("place"), F.lit(d).alias("distance")))
         found = frontier.count()
         if not found:
@@ -93,7 +94,7 @@ def shortest_path(edges: DataFrame, source, target, depth: int) -> DataFrame:
     kind = dict(edges.dtypes)["src"]
     front = spark.createDataFrame([(source, [source])], f"node {kind}, path array<{kind}>")
     for _ in range(depth):
-        step = edges.select("src", "dst").distinct().join(front.withColumnRenamed("node", "src"), "src").where(~F.array_contains("path", F.col("dst")))
+        step = edges.select("src", "dst").join(front.withColumnRenamed("node", "src"), "src").where(~F.array_contains("path", F.col("dst")))
         front = cut(step.groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")))
         found = front.where(F.col("node") == F.lit(target)).select("path")
         if found.head(1):

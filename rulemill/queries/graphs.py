@@ -13,17 +13,19 @@ EDGES = """
       union all select distinct 'P' || l_partkey, 'S' || l_suppkey, 'FROM' from lineitem)"""
 
 
-def edges_of(spark, sf_dir):
+def edges_of(spark, sf_dir, once=True):
+    """A walk needs no edge only ``once``: it looks for its frontier's edges, and those are few before all lines are compared."""
     name = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
     s = read(spark, sf_dir, "supplier").select(name("S", "s_suppkey").alias("src"), name("N", "s_nationkey").alias("dst"), F.lit("IN").alias("relation"))
     n = read(spark, sf_dir, "nation").select(name("N", "n_nationkey").alias("src"), name("R", "n_regionkey").alias("dst"), F.lit("OF").alias("relation"))
-    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    li = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    li = li.distinct() if once else li
     return s.union(n).union(li.select(name("P", "l_partkey").alias("src"), name("S", "l_suppkey").alias("dst"), F.lit("FROM").alias("relation")))
 
 
 @query(f"with {EDGES} select distinct * from (select src as node, dst as neighbour from e where src in ('S1', 'N3') union all select dst, src from e where dst in ('S1', 'N3'))")
 def graph_neighbours(spark, sf_dir):
-    return graph.neighbours(edges_of(spark, sf_dir), ["S1", "N3"])
+    return graph.neighbours(edges_of(spark, sf_dir, once=False), ["S1", "N3"])
 
 
 @query(f"""with recursive {EDGES}, b as (select src, dst from e union all select dst, src from e),
@@ -31,7 +33,7 @@ def graph_neighbours(spark, sf_dir):
     select node, min(distance)::int as distance from w group by 1""")
 def graph_reachable(spark, sf_dir):
     """Nodes within three steps of a region, both ways."""
-    return graph.reachable(edges_of(spark, sf_dir), ["R1"], 3)
+    return graph.reachable(edges_of(spark, sf_dir, once=False), ["R1"], 3)
 
 
 @query(f"""with {EDGES}, n as (select 'R1' as node union select src from e where dst = 'R1') select count(*) as n from e where src in (select node from n) and dst in (select node from n)""")
@@ -45,7 +47,7 @@ def graph_induced(spark, sf_dir):
     select array_to_string(min(path), '>') as path from w where starts_with(node, 'R') and k = 3 and node = (select min(node) from w where starts_with(node, 'R'))""")
 def graph_path(spark, sf_dir):
     """The least shortest path from the first part to the first region that it reaches."""
-    e = edges_of(spark, sf_dir)
+    e = edges_of(spark, sf_dir, once=False)
     start = e.where("src like 'P%'").agg(F.min("src")).first()[0]
     goal = graph.reachable(e, [start], 4, directed=True).where("node like 'R%'").agg(F.min("node")).first()[0]
     return graph.shortest_path(e, start, goal, 4).select(F.array_join("path", ">").alias("path"))
@@ -95,7 +97,7 @@ def graph_cycles(spark, sf_dir):
     select s.node, s.distance, s.place, (select count(*) from (select distinct p.src, p.dst, p.relation from p join s t on t.node = p.dst where p.src = s.node and t.place > s.place and s.distance < 3)) as edges_out from s""")
 def graph_budgeted(spark, sf_dir):
     """The first forty nodes around a region by relation priority, with the number of edges that lead on from each."""
-    e = edges_of(spark, sf_dir)
+    e = edges_of(spark, sf_dir, once=False)
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
     found, along = graph.budgeted(nodes, e, ["R1"], 3, 40, priority=("OF", "IN"))
     n = along.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("edges_out"))
