@@ -61,19 +61,28 @@ class Ratio:
 
 
 class Words:
-    """Jaccard of word sets above ``least``; a row without words is alike none."""
+    """Jaccard of word sets above ``least``; a row without words is alike none. Rows of each word are listed once, and a row counts what
+    others share with it from the lists of its own words; nobody is compared one by one."""
 
     def __init__(self, texts: list[str], least: float):
         self.sets, self.least = [frozenset(t.split()) for t in texts], least
         self.size = np.array([len(s) for s in self.sets], np.int64)
+        number: dict[str, int] = {}
+        words = np.array([number.setdefault(w, len(number)) for s in self.sets for w in s], np.int64)
+        order = np.argsort(words, kind="stable")
+        self.rows = np.repeat(np.arange(len(self.sets)), self.size)[order]
+        self.ends, self.number = np.append(0, np.cumsum(np.bincount(words, minlength=len(number)))), number
 
     def near(self, other: Words, i: int) -> np.ndarray:
-        small, large = np.minimum(self.size, other.size[i]), np.maximum(self.size, other.size[i])
-        return np.flatnonzero((small > 0) & (small > self.least * large))
+        """Exactly the rows of self that are alike row i of ``other``."""
+        lists = [self.rows[self.ends[k] : self.ends[k + 1]] for w in other.sets[i] if (k := self.number.get(w)) is not None]
+        if not lists:
+            return np.zeros(0, np.int64)
+        shared = np.bincount(np.concatenate(lists), minlength=len(self.size))
+        return np.flatnonzero(shared > np.maximum(0, self.least * (self.size + other.size[i] - shared)))
 
     def alike(self, j: int, other: Words, i: int) -> bool:
-        shared = len(self.sets[j] & other.sets[i])
-        return shared > self.least * (int(self.size[j] + other.size[i]) - shared)
+        return True
 
 
 class Contains:

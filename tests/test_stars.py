@@ -68,6 +68,19 @@ def test_bound_never_refuses_what_is_alike():
                 assert alike == (j in near and m.alike(j, m, i))
 
 
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.5, 0.8])
+def test_shared_words_are_counted_not_compared(monkeypatch, least):
+    """``near`` alone says who is alike, from lists of words: no pair of sets is intersected."""
+    rows = ["", "x", *[(t or "") for _, _, t in rows_of(120, 1, 9)]]
+    sets = [set(t.split()) for t in rows]
+    m, other = stars.Words(rows, least), stars.Words(rows[::3] + ["none of these"], least)
+    m.sets = None
+    for i, s in enumerate(map(set, other.sets)):
+        want = [j for j, o in enumerate(sets) if s & o and len(s & o) > least * len(s | o)]
+        assert [j for j in m.near(other, i) if m.alike(j, other, i)] == want
+    assert stars.Words([], least).near(other, 0).size == 0
+
+
 def test_hot_block(spark):
     """One block with many rows of few kinds: few rounds, no pairs."""
     rnd = random.Random(3)
