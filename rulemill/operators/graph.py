@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .convergence import ranks
 from .storage import cut
 
+#: Parts of a component, at most, while its edges are few; edges for a part; ends of edges that a task may hold.
+SPREAD, SHARE, HELD = 16, 1 << 14, 1 << 25
+
 
 def neighbours(edges: DataFrame, nodes: list, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
     """(node, neighbour), distinct."""
@@ -136,11 +141,15 @@ def expand_definitions(terms: DataFrame, uses: DataFrame, depth: int) -> DataFra
     return seen.select(*return_cols)
 
 
-def maximal_cliques(edges: DataFrame, components: DataFrame, most: int | None = None) -> DataFrame:
+def maximal_cliques(edges: DataFrame, components: DataFrame, most: int | None = None, members: DataFrame | None = None) -> DataFrame:
     """(component, clique) for every maximal clique of the similarity graph, each found at its first vertex by (degree, id):
-    one bounded search a vertex over its later neighbours, so that a component of any size is spread over tasks. Earlier
-    neighbours only tell what isn't maximal; those that see the same later neighbours count once. Only where ``most`` is
-    given, a component above so many vertices is reported with a null clique. edges: src, dst; components: node, component."""
+    one search a vertex over its later neighbours; earlier ones only tell what isn't maximal. Only where ``most`` is
+    given, a component above so many vertices is reported with a null clique. edges: src, dst; components: node, component;
+    members: node, names (array) of vertices that stand for several, all linked with each other and with the same others.
+
+    Neither triangles nor the two edges of a vertex are written: the vertices of a component are dealt to parts, and a part gets the
+    neighbours of its own vertices and of their later neighbours, each once. So an edge is sent a few times for each part. Parts
+    are few while a task may hold the component's edges (HELD), and else so small that no part needs more."""
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     large = None
     if most is not None:
@@ -149,55 +158,103 @@ def maximal_cliques(edges: DataFrame, components: DataFrame, most: int | None =
         few = components.join(sizes.where(F.col("n") <= most), "component", "left_semi").select(F.col("node").alias("src"))
         pairs = pairs.join(few, "src", "left_semi")
     pairs = cut(pairs)
-    degree = both_ways(pairs).groupBy("src").agg(F.count("*").alias("d"))
-    ranked = pairs.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
-    first = F.col("d") < F.col("e")
-    first = first | (F.col("d") == F.col("e")) & (F.col("src") < F.col("dst"))
-    later = cut(ranked.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("v")))
-    # triangles u, a, b in this order: from the earliest vertex two edges go out, the third joins their ends
-    wedge = later.select("u", F.col("v").alias("a")).join(later.select("u", F.col("v").alias("b")), "u").where("a <> b")
-    triangle = cut(wedge.join(later.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"]).select("u", "a", "b"))
-    kind = "array<long>"
-    inner = triangle.groupBy("u", "a").agg(F.sort_array(F.collect_set("b")).cast(kind).alias("sees"))
-    own = later.withColumnRenamed("v", "a").join(inner, ["u", "a"], "left").select(F.col("u").alias("vertex"), F.col("a").cast("long").alias("near"), F.coalesce("sees", F.array().cast(kind)).alias("sees"))
-    outer = triangle.groupBy("u", F.col("a").alias("vertex")).agg(F.sort_array(F.collect_set("b")).cast(kind).alias("sees")).select("vertex", F.lit(None).cast("long").alias("near"), "sees").distinct()
-    searches = own.union(outer).groupBy("vertex").agg(F.collect_list(F.struct("near", "sees")).alias("around"))
-    searches = searches.join(components.select(F.col("node").alias("vertex"), "component"), "vertex").select(F.col("component").cast("long"), F.col("vertex").cast("long"), "around")
-
-    def run(batches):
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                found = sorted(_cliques(row["vertex"], row["around"]))
-                for i in range(0, len(found), 1000):
-                    part = found[i : i + 1000]
-                    yield pa.RecordBatch.from_pydict({"component": pa.array([row["component"]] * len(part), pa.int64()), "clique": pa.array(part, pa.list_(pa.int64()))})
-
-    out = searches.mapInArrow(run, "component long, clique array<long>")
+    degree = both_ways(pairs).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
+    order = ranks(degree.select(F.lit(0).alias("all"), F.struct("d", "node").alias("o")), "all", "o")
+    known = order.select(F.col("o.node").alias("node"), F.col("o.d").alias("d"), F.col("rank").alias("r")).join(components.select("node", F.col("component").cast("long").alias("component")), "node")
+    own = F.array(F.col("node").cast("long"))
+    if members is not None:
+        known, own = known.join(members.select("node", F.col("names").cast("array<long>").alias("names")), "node", "left"), F.coalesce("names", own)
+    nodes = cut(known.select("component", "node", "r", "d", own.alias("names")))
+    end = lambda k, *more: nodes.select(F.col("node").alias(k), F.col("r").alias(f"{k}_r"), *more)
+    ranked = cut(pairs.join(end("src", "component", F.col("d").alias("src_d")), "src").join(end("dst", F.col("d").alias("dst_d")), "dst").select("component", "src_r", "dst_r", "src_d", "dst_d"))
+    first = F.col("src_r") < F.col("dst_r")
+    later = ranked.select("component", F.least("src_r", "dst_r").alias("u"), F.greatest("src_r", "dst_r").alias("v"), F.when(first, F.col("dst_d")).otherwise(F.col("src_d")).alias("d"))
+    held = later.groupBy("component").agg(F.count("*").alias("m"), F.sum("d").alias("w"))
+    parts = F.least(F.lit(SPREAD), F.ceil(F.col("m") / SHARE))
+    parts = F.when(2 * F.col("m") > HELD, F.greatest(parts, F.ceil(F.col("w") / HELD))).otherwise(parts)
+    plan = F.broadcast(held.select("component", parts.alias("parts")).where("parts > 1"))  # a row for SHARE edges at most
+    part = F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).alias("part")
+    wanted = later.join(plan, "component", "left").select("component", part, F.col("v").alias("r"), F.lit(False).alias("home"))
+    wanted = wanted.union(nodes.select("component", F.col("r").alias("u")).join(plan, "component", "left").select("component", part, F.col("u").alias("r"), F.lit(True).alias("home")))
+    wanted = wanted.groupBy("r", "component", "part").agg(F.max("home").alias("home"))
+    near = both_ways(ranked.select(F.col("src_r").alias("src"), F.col("dst_r").alias("dst"))).groupBy(F.col("src").alias("r")).agg(F.sort_array(F.collect_list("dst")).alias("near"))
+    sent = wanted.join(near, "r").join(nodes.select("r", "names"), "r")
+    spread = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sent.repartition(spread, "component", "part").sortWithinPartitions("component", "part").select("component", "part", "r", "home", "names", "near")
+    out = sent.mapInArrow(_searches, "component long, clique array<long>")
     return out if large is None else out.union(large)
 
 
-def _cliques(vertex: int, around: list[dict]):
-    """Maximal cliques whose first vertex is given. Entries with ``near`` are its later neighbours and whom of their later
-    neighbours they see, those without are earlier neighbours."""
-    names = sorted(a["near"] for a in around if a["near"] is not None)
-    at = {name: i for i, name in enumerate(names)}
-    near: list[set[int]] = [set() for _ in around]
-    earlier = len(names)
-    for a in around:
-        me = at.get(a["near"], earlier)
-        earlier += a["near"] is None
-        for b in a["sees"]:
-            near[me].add(at[b])
-            near[at[b]].add(me)
-    stack = [([], set(range(len(names))), set(range(len(names), len(near))))]
+def _searches(batches):
+    """Rows of a part follow each other; a part is searched when its last row is seen."""
+
+    def found(component, rows):
+        many = []
+        for clique in (c for r, (home, _, _) in rows.items() if home for c in _cliques(r, rows)):
+            many.append(clique)
+            if len(many) == 1000:
+                yield block(component, many)
+                many = []
+        if many:
+            yield block(component, many)
+
+    def block(component, many):
+        return pa.RecordBatch.from_pydict({"component": pa.array([component] * len(many), pa.int64()), "clique": pa.array(many, pa.list_(pa.int64()))})
+
+    at, rows = None, {}
+    for batch in batches:
+        component, part, r, home, names, near = batch.columns
+        values, ends = near.flatten().to_numpy(), np.concatenate([[0], np.cumsum(near.value_lengths().to_numpy())])
+        for i, here in enumerate(zip(component.to_pylist(), part.to_pylist())):
+            if here != at:
+                if rows:
+                    yield from found(at[0], rows)
+                at, rows = here, {}
+            rows[r[i].as_py()] = home[i].as_py(), names[i].as_py(), values[ends[i] : ends[i + 1]]
+    if rows:
+        yield from found(at[0], rows)
+
+
+def _cliques(vertex: int, rows: dict):
+    """Maximal cliques whose first vertex is given, as sorted names. rows: whether a vertex is searched, names, neighbours in order.
+    Sets of vertices are bits: later neighbours first, then earlier ones; those that see the same later ones count once."""
+    around = rows[vertex][2]
+    split = int(np.searchsorted(around, vertex))
+    names = around[split:].tolist()
+    if not names:
+        return
+    n, near = len(names), []
+    sees: dict[int, int] = {}  # of earlier neighbours, which later ones they see
+    for i, p in enumerate(names):
+        there = rows[p][2]
+        at = np.searchsorted(there, around)
+        hit = np.flatnonzero(there[np.minimum(at, len(there) - 1)] == around)
+        mask = np.zeros(n, np.uint8)
+        mask[hit[hit >= split] - split] = 1
+        near.append(int.from_bytes(np.packbits(mask, bitorder="little").tobytes(), "little"))
+        for x in hit[hit < split].tolist():
+            sees[x] = sees.get(x, 0) | 1 << i
+    for k, mask in enumerate(sorted(set(sees.values()))):
+        near.append(mask)
+        for v in _bits(mask):
+            near[v] |= 1 << (n + k)
+    later = (1 << n) - 1
+    stack = [((), later, (1 << len(near)) - 1 - later)]
     while stack:
         r, p, x = stack.pop()
-        if not p and not x:
-            yield sorted([vertex, *(names[i] for i in r)])
         if not p:
+            if not x:
+                yield sorted(name for v in (vertex, *(names[i] for i in r)) for name in rows[v][1])
             continue
-        pivot = max(p | x, key=lambda v: (len(near[v] & p), -v))
-        for v in sorted(p - near[pivot]):
-            stack.append(([*r, v], p & near[v], x & near[v]))
-            p = p - {v}
-            x = x | {v}
+        pivot = max(_bits(p | x), key=lambda v: (near[v] & p).bit_count())
+        for v in _bits(p & ~near[pivot]):
+            stack.append(((*r, v), p & near[v] & later, x & near[v]))
+            p &= ~(1 << v)
+            x |= 1 << v
+
+
+def _bits(mask: int):
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low

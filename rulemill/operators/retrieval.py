@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_of
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, dot, normalised
 from . import cells, documents
+from .components import connected
+from .graph import maximal_cliques
+from .storage import cut
 
 #: Weights of the channels of a match and the bands of its score.
 CHANNELS = {"subject": 0.25, "semantic": 0.30, "predicate": 0.20, "keyword": 0.15, "section": 0.10}
@@ -80,6 +83,26 @@ def similar_pairs(rows: DataFrame, ident: str, block: str, vector: str, least: f
     return cells.pairs_within(rows.select(block, F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")), block, least)
 
 
+def similar_cliques(rows: DataFrame, ident: str, block: str, vector: str, least: float) -> DataFrame:
+    """(component, clique): the maximal groups of rows of a block that are all similar pairs. Rows with equal vectors see the same
+    others, so one row stands for them in pairs and searches, and all are written into its groups. A row whose id stands with
+    several vectors stands for itself."""
+    own = rows.where(F.col(block).isNotNull() & F.col(ident).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    own = cut(own.groupBy(block, vector).agg(F.collect_set(ident).alias("names")))
+    each = own.select(block, vector, F.explode("names").alias("id"))
+    often = cut(each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("alone")))
+    if often.head(1):
+        own = cut(each.join(often, "id", "left").groupBy(block, vector, "alone").agg(F.collect_set("id").alias("names")))
+    own = own.select(block, vector, F.sort_array("names").alias("names")).withColumn("node", F.col("names")[0])
+    unit = normalised(F.col(vector))
+    members = cut(own.where(F.size("names") > 1).select("node", "names", (dot(unit, unit) >= least).alias("linked")))
+    pairs = cut(similar_pairs(own, "node", block, vector, least).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
+    components = cut(connected(pairs))
+    found = maximal_cliques(pairs, components, members=members)
+    apart = members.where("linked").join(components.select("node"), "node", "left_anti")
+    return found.unionAll(apart.select(F.col("node").cast("long").alias("component"), F.col("names").cast("array<long>").alias("clique")))
+
+
 def channel_score(columns: dict[str, str | Column] | None = None):
     """Weighted sum of channels, given as columns or their names; a missing channel counts nothing. The semantic channel is a
     cosine in [-1, 1]."""

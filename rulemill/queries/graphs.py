@@ -64,12 +64,9 @@ def graph_statistics(spark, sf_dir):
 @query(None)
 def graph_cliques(spark, sf_dir):
     """Maximal groups of similar vectors; tested against brute force."""
-    from ..operators.components import connected
-    from ..operators.retrieval import similar_pairs
-    from ..operators.storage import cut
+    from ..operators.retrieval import similar_cliques
 
-    p = cut(similar_pairs(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.35).select(F.col("left_id").alias("src"), F.col("right_id").alias("dst")))
-    return graph.maximal_cliques(p, connected(p))
+    return similar_cliques(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.35)
 
 
 REFERENCES = """
